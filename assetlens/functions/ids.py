@@ -295,3 +295,31 @@ def object_key(c: Column) -> Column:
 
 def squeeze_upper(c: Column) -> Column:
     return F.upper(F.regexp_replace(c, WS, ""))
+
+
+def key_variants(key: Column) -> Column:
+    """Ways a cadastral key is written in a text: with colons, blanks or
+    dashes, with the third part not zero-filled, or its last two parts."""
+    k = strip(key)
+    p = F.split(k, ":")
+    third = F.get(p, F.lit(2))
+    short = F.regexp_replace(third, "^0+(?=[0-9])", "")
+    four = F.size(p) == 4
+    return F.array_distinct(
+        F.filter(
+            F.array(
+                k,
+                F.replace(k, F.lit(":"), F.lit(" ")),
+                F.replace(k, F.lit(":"), F.lit("-")),
+                F.when(four, F.concat_ws(":", F.get(p, F.lit(0)), F.get(p, F.lit(1)), short, F.get(p, F.lit(3)))),
+                F.when(four, F.concat_ws(":", third, F.get(p, F.lit(3)))),
+            ),
+            lambda v: v.isNotNull() & (v != ""),
+        )
+    )
+
+
+def text_mentions(text: Column, key: Column) -> Column:
+    """The text holds one of the key's variants."""
+    hay = F.lower(F.coalesce(text, F.lit("")))
+    return F.exists(key_variants(F.coalesce(key, F.lit(""))), lambda v: hay.contains(F.lower(v)))
