@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,14 +21,18 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def non_empty(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
+
+
 def filled(c: Column) -> Column:
     """Blank text to null."""
-    s = strip(c)
-    return F.when(s != "", s)
+    return non_empty(strip(c))
 
 
-def non_empty(c: Column) -> Column:
-    return F.when(c != "", c)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def extract(c: Column, pattern: str, group: int = 1) -> Column:
@@ -62,18 +66,24 @@ def first_by_rules(c: Column, rules: Sequence[tuple[str, str]], default: Column
     return expr.otherwise(default) if default is not None else expr
 
 
+def _map_of(entries: Column, pick: int) -> Column:
+    def build(e: Column) -> Column:
+        value = lambda k: F.try_element_at(F.filter(e, lambda x: x["key"] == k), F.lit(pick))["value"]
+        keys = F.array_distinct(F.transform(e, lambda x: x["key"]))
+        return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), value(k).alias("value"))))
+
+    return let(entries, build)
+
+
 def map_last_wins(entries: Column) -> Column:
-    """Array of (key, value) structs to a map, the last of equal keys wins."""
-    kept = F.filter(
-        entries,
-        lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]),
-    )
-    return F.map_from_entries(kept)
+    """Array of (key, value) structs to a map in order of first appearance; the
+    last of equal keys gives the value."""
+    return _map_of(entries, -1)
 
 
 def map_first_wins(entries: Column) -> Column:
-    """Array of (key, value) structs to a map, the first of equal keys wins."""
-    return map_last_wins(F.reverse(entries))
+    """As :func:`map_last_wins`, but the first of equal keys gives the value."""
+    return _map_of(entries, 1)
 
 
 def map_merge(base: Column, other: Column) -> Column:
@@ -89,32 +99,41 @@ def empty_map() -> Column:
 NO_DATA = ("н/д", "не указано")
 
 
-def semicolon_fields(c: Column) -> Column:
-    """``key: value; key: value`` text to a map.
+def _chunks(c: Column) -> Column:
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), strip), lambda x: x != "")
 
-    Keys are lower case with single blanks, the last of equal keys wins, "no
-    data" values are dropped and the first chunk without a colon becomes
-    ``kind``.
+
+def semicolon_entries(c: Column) -> Column:
+    """``key: value; key: value`` text to (key, value) structs, in order.
+
+    Keys are lower case with single blanks; "no data" values are dropped.
     """
-    chunks = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), strip), lambda x: x != "")
     pairs = F.transform(
-        F.filter(chunks, lambda x: x.contains(":")),
+        F.filter(_chunks(c), lambda x: x.contains(":")),
         lambda x: F.struct(
             squeeze(F.lower(F.substring_index(x, ":", 1))).alias("key"),
             strip(F.regexp_replace(x, r"(?s)^[^:]*:", "")).alias("value"),
         ),
     )
-    pairs = F.filter(
-        pairs,
-        lambda p: (p["key"] != "") & (p["value"] != "") & ~F.lower(p["value"]).isin(*NO_DATA),
+    return F.filter(pairs, lambda p: (p["key"] != "") & (p["value"] != "") & ~F.lower(p["value"]).isin(*NO_DATA))
+
+
+def first_bare_chunk(c: Column) -> Column:
+    """The first ``;`` chunk without a colon."""
+    return F.get(F.filter(_chunks(c), lambda x: ~x.contains(":")), F.lit(0))
+
+
+def entry_if(key: str, value: Column) -> Column:
+    """One (key, value) struct in an array, or an empty array."""
+    return F.filter(
+        F.array(F.struct(F.lit(key).alias("key"), value.alias("value"))), lambda e: e["value"].isNotNull()
     )
-    bare = F.filter(chunks, lambda x: ~x.contains(":"))
-    fields = map_last_wins(pairs)
-    kind = F.when(F.size(bare) > 0, F.lower(F.get(bare, F.lit(0))))
-    # a field really named "kind" wins over the bare chunk
-    return F.when(
-        kind.isNotNull(), map_merge(fields, F.map_from_arrays(F.array(F.lit("kind")), F.array(kind)))
-    ).otherwise(fields)
+
+
+def semicolon_fields(c: Column) -> Column:
+    """Map of :func:`semicolon_entries`, the last of equal keys wins; the first
+    bare chunk becomes ``kind``."""
+    return map_last_wins(F.concat(entry_if("kind", F.lower(first_bare_chunk(c))), semicolon_entries(c)))
 
 
 def strip_tags(c: Column) -> Column:
