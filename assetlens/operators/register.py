@@ -7,6 +7,8 @@ Two layouts are read: ``structured`` (kind path, pledgor, description ...) and
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ MARKET_FACTOR = 1.05
 
 # fixed values: words that mark a header row
 STRUCTURED_MARKERS = ("вид обеспечения", "описание обеспечения", "залогодатель")
+SIMPLE_MARKERS = ("условн", "наименован|описание", "стоимост")
 STRUCTURED_ROWS, SIMPLE_ROWS = 40, 20
 
 # fixed values: header patterns per layout; the first pattern a header matches
@@ -66,14 +69,16 @@ def _row_text(cells: Column) -> Column:
     return F.lower(F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), " "))
 
 
-def header_rows(rows: DataFrame) -> DataFrame:
+def header_rows(
+    rows: DataFrame,
+    structured_markers: Sequence[str] = STRUCTURED_MARKERS,
+    simple_markers: Sequence[str] = SIMPLE_MARKERS,
+) -> DataFrame:
     """(file, sheet, layout, header_row): the first of 40 rows with all three
     markers, else the first of 20 with the simple ones, else row 0."""
     text = _row_text(F.col("cells"))
-    structured = F.lit(True)
-    for marker in STRUCTURED_MARKERS:
-        structured = structured & text.contains(marker)
-    simple = text.contains("условн") & text.rlike("наименован|описание") & text.contains("стоимост")
+    has_all = lambda markers: reduce(and_, [text.rlike(m) for m in markers])
+    structured, simple = has_all(structured_markers), has_all(simple_markers)
     found = (
         rows.where(F.col("row") < STRUCTURED_ROWS)
         .groupBy(*KEYS)

@@ -57,7 +57,13 @@ def catalogue(spark: SparkSession, folders: Sequence[str], pattern: str = "datas
             .select("path", "length", "modificationTime", F.lit(rank).alias("folder_rank"))
         )
         listed = part if listed is None else listed.unionByName(part)
-    named = listed.withColumns(dataset_columns(_file_name(F.col("path"))))
+    return resolve_catalogue(listed)
+
+
+def resolve_catalogue(files: DataFrame) -> DataFrame:
+    """:func:`catalogue` on a listing: path, length, modificationTime and
+    folder_rank (0 = first folder)."""
+    named = files.withColumns(dataset_columns(_file_name(F.col("path"))))
     preference = F.struct("folder_rank", F.col("path").rlike(r"(?i)\.gz$"), "path")
     columns = [c for c in named.columns if c != "folder_rank"]
     best = named.groupBy("dataset_file").agg(F.min_by(F.struct(*columns), preference).alias("row"))
