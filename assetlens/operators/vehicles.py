@@ -260,9 +260,10 @@ def decoded_cards(eav: DataFrame) -> DataFrame:
     )
     wide = last_values(rows, "query_key", "variable", "value", "pos", DECODER_FIELDS)
     clean = F.coalesce("error_code", F.lit("")).isin("", "0")
+    unknown = {f: F.lit(None).cast("string") for f in FIELDS if f not in DECODER_FIELDS.values()}
     return (
         wide.join(extras, "query_key", "left")
-        .withColumn("extra", F.coalesce("extra", empty_map()))
+        .withColumns({**unknown, "extra": F.coalesce("extra", empty_map())})
         .withColumn("found", F.coalesce("make", "model", "model_year").isNotNull() & clean)
     )
 

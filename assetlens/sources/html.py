@@ -147,8 +147,8 @@ def status_count(status: Column) -> Column:
 
 
 def _records(section: Column) -> Column:
-    parts = F.slice(F.split(F.coalesce(section, F.lit("")), _RECORD_MARK), 2, 2**31 - 1)
-    parts = F.filter(parts, lambda p: p.contains("вид") | p.contains("дата"))
+    parts = F.split(F.coalesce(section, F.lit("")), _RECORD_MARK)
+    parts = F.filter(parts, lambda p, i: (i > 0) & (p.contains("вид") | p.contains("дата")))
 
     def record(p: Column) -> Column:
         kind_hidden = p.rlike(rf"(?isu)вид.*?{_PAID}")
