@@ -17,6 +17,7 @@ from .text import (
     first_bare_chunk,
     first_by_rules,
     let,
+    lookup,
     map_first_wins,
     map_last_wins,
     map_merge,
@@ -69,10 +70,6 @@ _ANY_LABEL = "|".join(sorted(LABELS, key=len, reverse=True))
 _STRUCTURED = "(?iu)вид обеспечения|описание обеспечения|местонахождение обеспечения"
 
 
-def _lookup(table: dict[str, str], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
-
-
 def _edges(c: Column, chars: str = " \\t,;") -> Column:
     return F.regexp_replace(c, f"^[{chars}]+|[{chars}]+$", "")
 
@@ -86,7 +83,7 @@ def _normal_label(c: Column) -> Column:
 
 def label_key(c: Column) -> Column:
     """Field a label names, null for any other text."""
-    return _lookup(LABELS, _normal_label(c))
+    return lookup(LABELS, _normal_label(c))
 
 
 def is_label(c: Column) -> Column:
@@ -120,24 +117,42 @@ def labelled_fields(c: Column) -> Column:
     """Labelled text to a map: ``label: value``, then ``label value``; pairs of
     neighbouring lines or cells override both. A value ends at the next label."""
     text = strip(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
-    marked = rf"(?isu)({_ANY_LABEL})\s*{_MARK}\s*(.*?)(?=\s*(?:{_ANY_LABEL})\s*{_MARK}|\z)"
+    marked = rf"(?iu)({_ANY_LABEL})\s*{_MARK}\s*"
     spaced = rf"(?isu)({_ANY_LABEL})\s+(.+?)(?=\s+(?:{_ANY_LABEL})\s+|\z)"
+    empty = F.array().cast("array<struct<key:string,value:string>>")
+
+    def usable(entries: Column) -> Column:
+        return F.filter(entries, lambda p: p["key"].isNotNull() & (p["value"] != ""))
+
+    def after_marks(t: Column) -> Column:
+        # one pass: every "label:" starts a piece, its value is the rest of it
+        pieces = F.split(F.regexp_replace(t, marked, "\u0001$1\u0002"), "\u0001")
+        return usable(
+            F.transform(
+                F.filter(pieces, lambda x: x.contains("\u0002")),
+                lambda x: F.struct(
+                    label_key(F.substring_index(x, "\u0002", 1)).alias("key"),
+                    _edges(squeeze(F.substring_index(x, "\u0002", -1))).alias("value"),
+                ),
+            )
+        )
 
-    def entries(t: Column, pattern: str) -> Column:
-        hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-        out = F.transform(
+    def after_blanks(t: Column) -> Column:
+        hits = F.regexp_extract_all(t, F.lit(spaced), F.lit(0))
+        found = F.transform(
             hits,
             lambda h: F.struct(
-                label_key(F.regexp_extract(h, pattern, 1)).alias("key"),
-                _edges(squeeze(F.regexp_extract(h, pattern, 2))).alias("value"),
+                label_key(F.regexp_extract(h, spaced, 1)).alias("key"),
+                _edges(squeeze(F.regexp_extract(h, spaced, 2))).alias("value"),
             ),
         )
-        return F.filter(out, lambda p: p["key"].isNotNull() & (p["value"] != ""))
+        return F.when(t.rlike(rf"(?iu)(?:{_ANY_LABEL})\s+[^\s]"), usable(found)).otherwise(empty)
 
     def read(t: Column) -> Column:
         flat = F.regexp_replace(t, r"[\n\t]+", " ")
-        inline = map_first_wins(F.concat(entries(t, marked), entries(flat, spaced)))
-        return F.map_zip_with(inline, neighbour_fields(segments_of(t)), lambda _k, a, b: F.coalesce(b, a))
+        inline = map_first_wins(F.concat(after_marks(t), after_blanks(flat)))
+        full = F.map_zip_with(inline, neighbour_fields(segments_of(t)), lambda _k, a, b: F.coalesce(b, a))
+        return F.when(t.rlike(rf"(?iu){_ANY_LABEL}"), full).otherwise(empty_map())
 
     return let(text, read)
 
@@ -184,7 +199,7 @@ def is_code(c: Column) -> Column:
 
 
 def label_of_code(c: Column) -> Column:
-    return let(_lookup(CODE_KINDS, normal_code(c)), _cap)
+    return let(lookup(CODE_KINDS, normal_code(c)), _cap)
 
 
 def classifier_display(raw: Column, code: Column) -> Column:
@@ -202,7 +217,7 @@ def kind_label(raw: Column, code: Column, fields: Column) -> Column:
     stated = F.lower(strip(F.try_element_at(fields, F.lit("kind"))))
     part = strip(F.substring_index(F.coalesce(raw, F.lit("")), "/", 1))
     from_text = F.when(~strip(F.coalesce(raw, F.lit(""))).rlike(r"^[0-9.]+$") & ~is_label(part), F.lower(non_empty(part)))
-    return F.coalesce(non_empty(stated), from_text, _lookup(CODE_KINDS, code), F.lit(""))
+    return F.coalesce(non_empty(stated), from_text, lookup(CODE_KINDS, code), F.lit(""))
 
 
 def kind_code(kind: Column, raw: Column, code: Column) -> Column:
@@ -225,14 +240,13 @@ def land_plot_only(c: Column) -> Column:
 # --- pieces of a name -----------------------------------------------------------------
 
 
-def field(fields: Column, *keys: str) -> Column:
-    """First exact key, else the first field whose name holds one of the keys."""
-    exact = [strip(F.try_element_at(fields, F.lit(k))) for k in keys]
-    fuzzy = F.filter(
-        F.map_entries(fields),
-        lambda e: ~e["key"].startswith("_") & F.array_max(F.array(*[e["key"].contains(k) for k in keys])),
-    )
-    return F.coalesce(*exact, strip(F.get(fuzzy, F.lit(0))["value"]), F.lit(""))
+def field(fields: str, *keys: str) -> Column:
+    """First exact key of a map column, else the first field whose name holds
+    one of the keys, else ''."""
+    exact = ", ".join(f"try_element_at({fields}, '{k}')" for k in keys)
+    held = " OR ".join(f"contains(e.key, '{k}')" for k in keys)
+    fuzzy = f"get(filter(map_entries({fields}), e -> NOT startswith(e.key, '_') AND ({held})), 0).value"
+    return F.expr(f"coalesce({exact}, {fuzzy}, '')")
 
 
 def _clean(c: Column) -> Column:
@@ -349,7 +363,7 @@ def _without_repeated_type(title: Column, display: Column, raw: Column, *more: C
     return F.when((inner != "") & repeats, strip(F.regexp_replace(title, r"\([^)]+\)(?U:\s*)$", ""))).otherwise(title)
 
 
-def _exposure(fields: Column, cell: Column) -> Column:
+def _exposure(fields: str, cell: Column) -> Column:
     stated = squeeze(
         field(fields, "срок реализации", "срок реализации в днях", "срок экспозиции", "срок экспозиции в днях")
     )
@@ -408,7 +422,7 @@ def with_report_name(
             "_n_code": kind_code(kind, cls, F.col(code)),
             "_n_title": F.coalesce(
                 non_empty(F.try_element_at(f, F.lit("_title"))),
-                non_empty(field(f, "описание обеспечения", "description", "kind", "вид обеспечения")),
+                non_empty(field("_n_f", "описание обеспечения", "description", "kind", "вид обеспечения")),
                 non_empty(_described(f, F.col("_n_all"), kind)),
                 non_empty(_clean(_longest_segment(F.col("_n_seg"), kind, ident))),
                 non_empty(_cap(kind)),
@@ -420,31 +434,31 @@ def with_report_name(
     )
     label = F.col("_n_val")
     title = _without_repeated_type(F.col("_n_title"), F.col("_n_show"), cls, label, F.lower(label))
-    key = F.coalesce(non_empty(field(f, "кадастровый номер", "cadastral")), ident)
+    key = F.coalesce(non_empty(field("_n_f", "кадастровый номер", "cadastral")), ident)
     key = F.when(key.rlike("[0-9]{2}:[0-9]{2}:") | F.upper(key).rlike(VIN_LIKE), key).otherwise(blank)
-    stated_vin = F.coalesce(non_empty(field(f, "vin", "vin номер")), ident)
+    stated_vin = F.coalesce(non_empty(field("_n_f", "vin", "vin номер")), ident)
     line2 = F.when(
         is_vehicle(F.col("_n_code"), kind),
         _pairs(
-            ("Марка", field(f, "марка", "brand")),
-            ("Модель", field(f, "модель", "model")),
-            ("Год выпуска", field(f, "год выпуска", "year")),
+            ("Марка", field("_n_f", "марка", "brand")),
+            ("Модель", field("_n_f", "модель", "model")),
+            ("Год выпуска", field("_n_f", "год выпуска", "year")),
             ("VIN", vin_in(stated_vin)),
         ),
-    ).otherwise(_pairs(("Площадь", field(f, "площадь", "area")), ("Этаж", field(f, "этаж", "floor")), ("КН", key)))
-    rights = F.coalesce(non_empty(field(f, "права", "право", "вид права", "форма права", "право собственности")), F.lit("—"))
-    burden = F.coalesce(non_empty(field(f, "обременения", "обременение")), F.lit("нет"))
+    ).otherwise(_pairs(("Площадь", field("_n_f", "площадь", "area")), ("Этаж", field("_n_f", "этаж", "floor")), ("КН", key)))
+    rights = F.coalesce(non_empty(field("_n_f", "права", "право", "вид права", "форма права", "право собственности")), F.lit("—"))
+    burden = F.coalesce(non_empty(field("_n_f", "обременения", "обременение")), F.lit("нет"))
     liq = F.col("_n_liq")
     liquid = F.coalesce(
-        non_empty(F.lower(field(f, "ликвидность"))),
+        non_empty(F.lower(field("_n_f", "ликвидность"))),
         F.when(~liq.rlike(r"^[0-9]+(?:[.,][0-9]+)?$"), F.lower(liq)),
         blank,
     )
     cost_label = F.lower(
-        F.coalesce(non_empty(label), field(f, "вид оценочной стоимости", "вид стоимости", "тип стоимости"))
+        F.coalesce(non_empty(label), field("_n_f", "вид оценочной стоимости", "вид стоимости", "тип стоимости"))
     )
-    provision = F.lower(field(f, "обеспеченность", "учитываемое обеспечение", "учет обеспеченности"))
-    lgd, vat = F.lower(field(f, "lgd")), field(f, "ндс", "ндс %", "ставка ндс")
+    provision = F.lower(field("_n_f", "обеспеченность", "учитываемое обеспечение", "учет обеспеченности"))
+    lgd, vat = F.lower(field("_n_f", "lgd")), field("_n_f", "ндс", "ндс %", "ставка ндс")
     account = F.concat_ws(
         " | ",
         non_empty(
@@ -461,13 +475,13 @@ def with_report_name(
             "_n_1": F.rtrim(F.concat(F.lit("[ОБЪЕКТ] "), title)),
             "_n_2": line2,
             "_n_3": F.concat(F.lit("[ПРАВА]: "), rights, F.lit(". Обременения: "), burden, F.lit(".")),
-            "_n_5": _pairs(("Ликвидность", liquid), ("Срок реализации", _exposure(f, liq))),
-            "_n_6": _pairs(("Дата оценки", field(f, "дата оценки")), ("Стоимость", cost_label)),
+            "_n_5": _pairs(("Ликвидность", liquid), ("Срок реализации", _exposure("_n_f", liq))),
+            "_n_6": _pairs(("Дата оценки", field("_n_f", "дата оценки")), ("Стоимость", cost_label)),
             "_n_7": F.when(account != "", F.concat(F.lit("Учет: "), account)).otherwise(blank),
         }
     )
+    df = df.withColumn("_n_thin", F.concat("_n_2", "_n_5", "_n_6", "_n_7") == "")
     df = _with_short_name(df, code)
-    thin = F.concat("_n_2", "_n_5", "_n_6", "_n_7") == ""
     lines = F.concat_ws(
         "\n",
         "_n_1",
@@ -476,15 +490,20 @@ def with_report_name(
         F.lit("[ОЦЕНКА / ЗАЛОГ]"),
         *[non_empty(F.col(f"_n_{i}")) for i in (5, 6, 7)],
     )
-    return df.withColumn("_n_out", F.when(thin, F.col("_n_short")).otherwise(lines)).select(
+    return df.withColumn("_n_out", F.when(F.col("_n_thin"), F.col("_n_short")).otherwise(lines)).select(
         *[c for c in kept if c != out], F.col("_n_out").alias(out)
     )
 
 
 def _with_short_name(df: DataFrame, code: str) -> DataFrame:
     """``_n_short``, one line: kind, description, then year and id, or key and
-    area. Needs the columns :func:`with_report_name` prepares."""
-    raw, seg, cls, ident = (F.col(c) for c in ("_n_raw", "_n_seg", "_n_cls", "_n_id"))
+    area. Needs the columns :func:`with_report_name` prepares. Rows that have a
+    full name get nulls, which makes the steps below cheap for them."""
+    cls, ident = F.col("_n_cls"), F.col("_n_id")
+    df = df.withColumns(
+        {"_s_raw": F.when(F.col("_n_thin"), F.col("_n_raw")), "_s_seg": F.when(F.col("_n_thin"), F.col("_n_seg"))}
+    )
+    raw, seg = F.col("_s_raw"), F.col("_s_seg")
     blank = F.lit("")
     structured = raw.rlike(_STRUCTURED)
     long = F.length(raw) > 120

@@ -86,6 +86,13 @@ def map_first_wins(entries: Column) -> Column:
     return _map_of(entries, 1)
 
 
+def lookup(table: dict, key: Column) -> Column:
+    """Value of a small fixed table, null for an unknown key."""
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else str(x)
+    pairs = ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
+
+
 def map_merge(base: Column, other: Column) -> Column:
     """Union of two maps; values of ``base`` win (a null there does not)."""
     return F.map_zip_with(base, other, lambda _k, a, b: F.coalesce(a, b))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import digits_only
-from ..functions.text import strip
+from ..functions.text import lookup, strip
 
 # fixed values: object types and the deal category each leads to
 LAND, BUILDING, PREMISES, PARKING = "002001001000", "002001002000", "002001003000", "002001009000"
@@ -114,5 +114,4 @@ def deal_category(type_code: Column, purpose: Column) -> Column:
 
 
 def category_label(category: Column) -> Column:
-    pairs = [F.lit(x) for kv in CATEGORIES.items() for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), category), F.lit("Прочее"))
+    return F.coalesce(lookup(CATEGORIES, category), F.lit("Прочее"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import object_key, quarter_key
 from ..functions.numbers import area_number, price_number, round_half_up
-from ..functions.text import non_empty
+from ..functions.text import lookup, non_empty
 from .classifier import (
     BUILDING,
     CATEGORIES,
@@ -92,8 +92,8 @@ def types_from_words(words: Iterable[str] | None) -> list[str] | None:
 
 def synonym_ids(df: DataFrame, word: str, out: str, table: Mapping[str, Sequence[str]]) -> DataFrame:
     """Column form of the vocabularies: trimmed lower-case word to its id."""
-    pairs = [F.lit(x) for key, ws in table.items() for w in ws for x in (w, key)]
-    return df.withColumn(out, F.try_element_at(F.create_map(*pairs), F.lower(F.trim(F.col(word)))))
+    ids = {w: key for key, ws in table.items() for w in ws}
+    return df.withColumn(out, lookup(ids, F.lower(F.trim(F.col(word)))))
 
 
 def matching(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import address as addr
 from ..functions.ids import key_variants, text_mentions
 from ..functions.numbers import distance_km, round_half_up
+from ..functions.text import lookup
 from .sums import running_sums
 
 MIN_RELEVANCE = 50
@@ -26,7 +27,7 @@ MIN_HITS = 3
 
 
 def _map(values: dict[str, int], c: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), c), F.lit(0))
+    return F.coalesce(lookup(values, c), F.lit(0))
 
 
 # --- relevance --------------------------------------------------------------------
@@ -359,5 +360,4 @@ REGIONS = {
 def region(key: Column, address: Column) -> Column:
     """Region by the key's first part, else by the address."""
     code = F.substring_index(key, ":", 1).try_cast("int")
-    table = F.create_map(*[F.lit(x) for kv in REGIONS.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, code), addr.region_from_text(address))
+    return F.coalesce(lookup(REGIONS, code), addr.region_from_text(address))

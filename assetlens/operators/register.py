@@ -296,7 +296,7 @@ def _reasons(*rules: tuple[Column, Column | str]) -> Column:
 def structured_score(c: dict[str, Column]) -> tuple[Column, Column]:
     """Score 0..100 and its reasons; ``c`` holds the row's expressions."""
     cost, coll = c["cost"] > 0, (c["cost"] <= 0) & (c["collateral_cell"] > 0)
-    n_fields = F.size(c["fields"])
+    n_fields = c["n_fields"]
     rich = n_fields >= 2
     text = (n_fields < 2) & (F.length(c["description"]) >= 15)
     mark = c["conditional"].rlike(_SCORED_MARK)
@@ -340,82 +340,57 @@ def preview(*parts: Column, limit: int = 120) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 1), F.lit("…"))).otherwise(text)
 
 
-_OBJECT = (
-    "conditional", "klassifikator", "klassifikator_raw", "classifier_name", "name", "raw_name", "identifier",
-    "quality_category", "valuation_type", "cost", "collateral_value", "discount", "cost_type", "bank_market_price",
-    "liquidity", "score", "reasons", "status", "raw_preview",
+_PREPARED = (
+    "file", "sheet", "row", "row_index", "layout", "raw_name", "classifier_raw", "code", "name_code", "identifier", "segments",
+    "liquidity", "valuation_type", "conditional", "cost", "discount", "collateral", "quality", "kind_path",
+    "description", "n_fields", "reject", "template", "classifier_cell", "raw_preview",
 )
 
 
-def _money(cost: Column) -> Column:
-    return F.when(cost > 0, F.bround(cost * MARKET_FACTOR, 2)).otherwise(F.lit(0.0))
-
-
-def parse_structured(data: DataFrame) -> DataFrame:
-    """Objects and verdicts of structured rows (output of :func:`data_rows`)."""
+def _structured_fields(data: DataFrame) -> DataFrame:
+    """Fields of structured rows (output of :func:`data_rows`)."""
     cell = lambda f: strip(at(F.col("cells"), F.col(f"s.{f}")))
-    keys = [*KEYS, "row", "row_index"]
     df = data.where("layout = 'structured'").select(
-        *keys,
-        *[cell(f).alias(f) for f in ("kind_path", "description", "pledgor", "quality", "liquidity")],
+        *KEYS,
+        "row",
+        "row_index",
+        "layout",
+        *[cell(f).alias(f) for f in ("kind_path", "description", "quality", "liquidity")],
         *[register_number(cell(f)).alias(f) for f in ("cost", "discount", "collateral")],
         cell("valuation_type").alias("valuation_cell"),
     )
-    df = df.withColumn("reject", structured_reject(F.col("kind_path"), F.col("description"), F.col("cost")))
     # an empty row leaves no trace, any other keeps its reason
     df = df.where("kind_path <> '' OR description <> ''")
-    df = df.withColumns({"fields": semicolon_fields(F.col("description")), "_mark": conditional_mark(F.col("kind_path"))})
-    df = df.withColumn("classifier_raw", classifier_text(F.col("kind_path"), F.col("_mark")))
-    own_code = classifier_code(F.col("classifier_raw"))
+    kind, what = F.col("kind_path"), F.col("description")
     df = df.withColumns(
         {
-            "conditional": F.when(F.col("_mark") != "", F.col("_mark")).otherwise(
-                F.concat(F.lit("Объект_"), F.col("row_index").cast("string"))
-            ),
-            "klassifikator": F.when(
-                own_code == NO_CODE, names.code_from_text(F.substring_index("description", ";", 1))
-            ).otherwise(own_code),
-            "identifier": object_identifier(F.col("description"), F.col("fields")),
-            "valuation_type": F.coalesce(
-                non_empty(valuation_type(F.col("valuation_cell"))),
-                described_valuation(F.col("description"), F.col("fields")),
-            ),
-            "raw_name": F.when(F.col("description") != "", F.col("description")).otherwise(F.col("kind_path")),
+            "reject": structured_reject(kind, what, F.col("cost")),
+            "fields": semicolon_fields(what),
+            "_mark": conditional_mark(kind),
         }
     )
-    df = names.with_report_name(
-        df, "name", "raw_name", "classifier_raw", "klassifikator", "identifier",
-        liquidity=F.col("liquidity"), valuation=F.col("valuation_type"),
-    )
-    cost = F.col("cost")
-    named = {c: F.col(c) for c in ("cost", "fields", "description", "conditional", "identifier", "name", "kind_path")}
-    score, reasons = structured_score({**named, "collateral_cell": F.col("collateral")})
-    rejected = F.col("reject").isNotNull()
-    df = df.withColumns({"_score": F.when(rejected, F.lit(0)).otherwise(score), "_reasons": reasons})
-    gone = lambda c: F.when(~rejected, c)
-    raw_class = F.coalesce(non_empty(F.col("classifier_raw")), F.substring(F.get(_lines(F.col("kind_path")), F.lit(0)), 1, 80))
-    return df.select(
-        *keys,
-        F.when(rejected, F.lit("")).otherwise(F.col("conditional")).alias("conditional"),
-        gone(F.col("klassifikator")).alias("klassifikator"),
-        gone(raw_class).alias("klassifikator_raw"),
-        gone(names.classifier_display(raw_class, F.col("klassifikator"))).alias("classifier_name"),
-        F.when(rejected, F.lit("")).otherwise(F.col("name")).alias("name"),
-        gone(F.col("raw_name")).alias("raw_name"),
-        gone(F.col("identifier")).alias("identifier"),
-        gone(F.when(F.col("quality") != "", F.col("quality")).otherwise(F.lit("Стандарт"))).alias("quality_category"),
-        gone(F.col("valuation_type")).alias("valuation_type"),
-        cost.alias("cost"),
-        gone(F.when((F.col("collateral") <= 0) & (cost > 0), cost).otherwise(F.col("collateral"))).alias("collateral_value"),
-        gone(F.col("discount")).alias("discount"),
-        gone(F.lower("valuation_type")).alias("cost_type"),
-        gone(_money(cost)).alias("bank_market_price"),
-        gone(F.col("liquidity")).alias("liquidity"),
-        F.col("_score").alias("score"),
-        F.when(rejected, F.array("reject")).otherwise(F.col("_reasons")).alias("reasons"),
-        status_of(F.col("_score"), rejected).alias("status"),
-        preview(F.col("kind_path"), F.col("description")).alias("raw_preview"),
-    )
+    df = df.withColumn("_class", classifier_text(kind, F.col("_mark")))
+    own_code = F.nullif(classifier_code(F.col("_class")), F.lit(NO_CODE))
+    stated = non_empty(valuation_type(F.col("valuation_cell")))
+    return df.withColumns(
+        {
+            "raw_name": F.coalesce(non_empty(what), kind),
+            "classifier_raw": F.coalesce(non_empty(F.col("_class")), F.substring(F.get(_lines(kind), F.lit(0)), 1, 80)),
+            "code": F.coalesce(own_code, names.code_from_text(F.substring_index(what, ";", 1))),
+            "identifier": object_identifier(what, F.col("fields")),
+            "valuation_type": F.coalesce(stated, described_valuation(what, F.col("fields"))),
+            "conditional": F.coalesce(non_empty(F.col("_mark")), _default_mark()),
+            "n_fields": F.size("fields"),
+            "segments": F.array().cast("array<string>"),
+            "template": F.lit(False),
+            "classifier_cell": F.lit(""),
+            "raw_preview": preview(kind, what),
+        }
+    ).withColumn("name_code", F.col("code")).select(*_PREPARED)
+
+
+def _default_mark() -> Column:
+    return F.concat(F.lit("Объект_"), F.col("row_index").cast("string"))
 
 
 # --- simple layout ----------------------------------------------------------------------
@@ -488,13 +463,15 @@ def simple_score(c: dict[str, Column]) -> tuple[Column, Column]:
     return score, reasons
 
 
-def parse_simple(data: DataFrame) -> DataFrame:
-    """Objects and verdicts of simple rows (output of :func:`data_rows`)."""
+def _simple_fields(data: DataFrame) -> DataFrame:
+    """Fields of simple rows (output of :func:`data_rows`)."""
     cell = lambda f: strip(at(F.col("cells"), F.col(f"p.{f}")))
-    keys = [*KEYS, "row", "row_index"]
     cells = F.transform("cells", lambda c: strip(F.coalesce(c, F.lit(""))))
     df = data.where("layout = 'simple'").select(
-        *keys,
+        *KEYS,
+        "row",
+        "row_index",
+        "layout",
         F.lower(F.array_join(cells, " ")).alias("row_text"),
         simple_name(cell("name"), cell("note")).alias("raw_name"),
         cell("conditional").alias("mark_cell"),
@@ -506,77 +483,106 @@ def parse_simple(data: DataFrame) -> DataFrame:
         names.description_segments(cells, F.col("p.classifier"), F.col("p.cost")).alias("segments"),
     )
     df = df.where("raw_name <> '' OR mark_cell <> ''")
-    df = df.withColumn("fields", names.description_fields(F.col("raw_name"), F.col("segments")))
-    scanned = F.get(
-        F.filter("segments", lambda s: F.upper(s).rlike(VIN_LIKE) | s.rlike(CADASTRAL)), F.lit(0)
+    raw, cls = F.col("raw_name"), F.col("classifier_cell")
+    df = df.withColumns(
+        {
+            "fields": names.description_fields(raw, F.col("segments")),
+            "stated": semicolon_fields(raw),
+            "name_code": names.code_from_text(cls),
+        }
     )
+    scanned = F.get(F.filter("segments", lambda s: F.upper(s).rlike(VIN_LIKE) | s.rlike(CADASTRAL)), F.lit(0))
     own_id = F.when(~names.is_label(F.col("identifier_cell")), non_empty(F.col("identifier_cell")))
-    df = df.withColumn("stated", semicolon_fields(F.col("raw_name")))
     df = df.withColumns(
         {
-            "conditional": F.when(valid_mark(F.col("mark_cell")), F.col("mark_cell")).otherwise(
-                F.concat(F.lit("Объект_"), F.col("row_index").cast("string"))
-            ),
-            "code0": names.code_from_text(F.col("classifier_cell")),
+            "_kind": names.kind_label(cls, F.col("name_code"), F.col("fields")),
+            "conditional": F.when(valid_mark(F.col("mark_cell")), F.col("mark_cell")).otherwise(_default_mark()),
             "identifier": F.coalesce(own_id, _vin_upper(scanned), F.lit("")),
             "valuation_type": F.coalesce(
-                non_empty(valuation_type(F.col("valuation_cell"))),
-                non_empty(described_valuation(F.col("raw_name"), F.col("stated"))),
-                F.lit(""),
+                non_empty(valuation_type(F.col("valuation_cell"))), described_valuation(raw, F.col("stated"))
             ),
         }
     )
+    df = df.withColumn("code", names.kind_code(F.col("_kind"), cls, F.col("name_code")))
+    template = is_template_row(F.col("row_text"), F.col("code"), cls, raw, F.col("conditional"), F.col("cost"))
+    return df.withColumns(
+        {
+            "classifier_raw": names.shown_classifier(cls, F.col("_kind")),
+            "template": template,
+            "reject": F.lit(None).cast("string"),
+            "liquidity": F.lit(""),
+            "kind_path": F.lit(""),
+            "description": F.lit(""),
+            "n_fields": F.lit(0),
+            "raw_preview": preview(F.col("mark_cell"), raw),
+        }
+    ).select(*_PREPARED)
+
+
+def parse_registers(rows: DataFrame) -> DataFrame:
+    """All registers of a row table: one verdict per row with text.
+
+    Both layouts are brought to the same fields, then named and scored once.
+    """
+    data = data_rows(rows, column_map(rows, header_rows(rows)))
+    df = _structured_fields(data).unionByName(_simple_fields(data))
+    simple = F.col("layout") == "simple"
+    # the simple layout is named by its classifier cell as it stands
+    df = df.withColumn("_named_by", F.when(simple, F.col("classifier_cell")).otherwise(F.col("classifier_raw")))
     df = names.with_report_name(
-        df, "name", "raw_name", "classifier_cell", "code0", "identifier",
-        segments=F.col("segments"), valuation=F.col("valuation_type"),
+        df, "name", "raw_name", "_named_by", "name_code", "identifier",
+        segments=F.col("segments"), liquidity=F.col("liquidity"), valuation=F.col("valuation_type"),
     )
-    df = df.withColumn("_kind", names.kind_label(F.col("classifier_cell"), F.col("code0"), F.col("fields")))
+    c = {x: F.col(x) for x in ("cost", "raw_name", "name", "conditional", "identifier", "classifier_cell", "kind_path", "description", "n_fields")}
+    c["collateral_cell"] = F.col("collateral")
+    (s_score, s_reasons), (p_score, p_reasons) = structured_score(c), simple_score(c)
+    hard = F.coalesce(
+        F.col("reject"),
+        F.when(simple & F.col("template"), F.lit("служебная/шаблонная строка")),
+        F.when(simple & is_empty_name(F.col("raw_name"), F.col("name")), F.lit("нет осмысленного наименования")),
+    )
     df = df.withColumns(
         {
-            "klassifikator": names.kind_code(F.col("_kind"), F.col("classifier_cell"), F.col("code0")),
-            "classifier_raw": names.shown_classifier(F.col("classifier_cell"), F.col("_kind")),
+            "_hard": hard,
+            "_score": F.when(F.col("reject").isNotNull(), F.lit(0)).when(simple, p_score).otherwise(s_score),
+            "_reasons": F.when(simple, p_reasons).otherwise(s_reasons),
         }
     )
-    hard = F.when(
-        is_template_row(
-            F.col("row_text"), F.col("klassifikator"), F.col("classifier_cell"), F.col("raw_name"), F.col("conditional"), F.col("cost")
-        ),
-        F.lit("служебная/шаблонная строка"),
-    ).when(is_empty_name(F.col("raw_name"), F.col("name")), F.lit("нет осмысленного наименования"))
-    named = {c: F.col(c) for c in ("cost", "raw_name", "name", "conditional", "identifier", "classifier_cell")}
-    score, reasons = simple_score({**named, "collateral_cell": F.col("collateral")})
-    df = df.withColumns({"_hard": hard, "_score": score, "_reasons": reasons})
-    cost = F.col("cost")
+    rejected, hard_skip = F.col("reject").isNotNull(), F.col("_hard").isNotNull()
+    given = lambda x: F.when(~rejected, x)
+    cost, coll = F.col("cost"), F.col("collateral")
+    no_collateral = F.when(simple, coll == 0).otherwise(coll <= 0)
+    raw_name = F.coalesce(non_empty(F.col("raw_name")), F.array_join("segments", "\t"))
     return df.select(
-        *keys,
-        "conditional",
-        "klassifikator",
-        F.col("classifier_raw").alias("klassifikator_raw"),
-        names.classifier_display(F.col("classifier_raw"), F.col("klassifikator")).alias("classifier_name"),
-        "name",
-        F.when(F.col("raw_name") != "", F.col("raw_name")).otherwise(F.array_join("segments", "\t")).alias("raw_name"),
-        "identifier",
-        F.when(F.col("quality") != "", F.col("quality")).otherwise(F.lit("Стандарт")).alias("quality_category"),
-        "valuation_type",
+        *KEYS,
+        "row",
+        "row_index",
+        "layout",
+        F.when(rejected, F.lit("")).otherwise(F.col("conditional")).alias("conditional"),
+        given(F.col("code")).alias("klassifikator"),
+        given(F.col("classifier_raw")).alias("klassifikator_raw"),
+        given(names.classifier_display(F.col("classifier_raw"), F.col("code"))).alias("classifier_name"),
+        F.when(rejected, F.lit("")).otherwise(F.col("name")).alias("name"),
+        given(raw_name).alias("raw_name"),
+        given(F.col("identifier")).alias("identifier"),
+        given(F.coalesce(non_empty(F.col("quality")), F.lit("Стандарт"))).alias("quality_category"),
+        given(F.col("valuation_type")).alias("valuation_type"),
         cost.alias("cost"),
-        F.when((F.col("collateral") == 0) & (cost > 0), cost).otherwise(F.col("collateral")).alias("collateral_value"),
-        "discount",
-        F.lower("valuation_type").alias("cost_type"),
-        _money(cost).alias("bank_market_price"),
-        F.lit("").alias("liquidity"),
+        given(F.when(no_collateral & (cost > 0), cost).otherwise(coll)).alias("collateral_value"),
+        given(F.col("discount")).alias("discount"),
+        given(F.lower("valuation_type")).alias("cost_type"),
+        given(F.when(cost > 0, F.bround(cost * MARKET_FACTOR, 2)).otherwise(F.lit(0.0))).alias("bank_market_price"),
+        given(F.col("liquidity")).alias("liquidity"),
         F.col("_score").alias("score"),
-        F.when(F.col("_hard").isNotNull(), F.concat(F.array("_hard"), F.col("_reasons"))).otherwise(F.col("_reasons")).alias("reasons"),
-        status_of(F.col("_score"), F.col("_hard").isNotNull()).alias("status"),
-        preview(F.col("mark_cell"), F.col("raw_name")).alias("raw_preview"),
+        F.when(rejected, F.array("reject"))
+        .when(hard_skip, F.concat(F.array("_hard"), F.col("_reasons")))
+        .otherwise(F.col("_reasons"))
+        .alias("reasons"),
+        status_of(F.col("_score"), hard_skip).alias("status"),
+        "raw_preview",
     )
 
 
-def parse_registers(rows: DataFrame) -> DataFrame:
-    """All registers of a row table: one verdict per row with text."""
-    data = data_rows(rows, column_map(rows, header_rows(rows)))
-    return parse_structured(data).unionByName(parse_simple(data))
-
-
 def accepted(parsed: DataFrame) -> DataFrame:
     return parsed.where("status = 'accepted'")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.ids import VIN_LENGTH
-from ..functions.text import empty_map, extract, filled, map_first_wins, map_last_wins, non_empty, squeeze, strip
+from ..functions.text import empty_map, extract, filled, lookup, map_first_wins, map_last_wins, non_empty, squeeze, strip
 
 MAX_BATCH = 50
 NOT_FOUND = "По этому номеру данных о марке и модели не найдено"
@@ -248,7 +248,7 @@ def decoded_cards(eav: DataFrame) -> DataFrame:
     """Decoder rows (query_key, pos, variable, value) to vehicle cards."""
     rows = eav.where(F.col("variable").isNotNull() & (F.col("variable") != ""))
     rows = rows.withColumn("value", ids.clean_value(F.col("value")))
-    label = F.try_element_at(F.create_map(*[F.lit(x) for kv in DECODER_EXTRAS.items() for x in kv]), F.col("variable"))
+    label = lookup(DECODER_EXTRAS, F.col("variable"))
     # a later empty value does not take an earlier label's value away
     extras = (
         rows.withColumn("label", label)
