@@ -149,15 +149,17 @@ def merged_fill(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as a grid; blanks under merged rectangles are filled."""
     conv = table(spark, sf, "conversations")
     k, t = F.col("conv_id"), F.col("turn")
+    # twenty conversations are the rows of one file
+    file = F.floor(k / 20).cast("string").alias("file")
     cells = conv.select(
-        F.lit("f").alias("file"),
+        file,
         F.lit("s").alias("sheet"),
         k.cast("int").alias("row"),
         t.cast("int").alias("col"),
         F.when((k + t) % 3 != 0, F.col("role")).otherwise(F.lit("  ")).alias("value"),
     )
     corners = conv.where((k % 4 == 1) & (t % 2 == 0)).select(
-        F.lit("f").alias("file"),
+        file,
         F.lit("s").alias("sheet"),
         k.cast("int").alias("r0"),
         (k + 2).cast("int").alias("r1"),
@@ -172,8 +174,9 @@ def merged_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 MERGED_SQL = """
 WITH c AS (SELECT conv_id AS r, turn AS c, CASE WHEN (conv_id + turn) % 3 <> 0 THEN role ELSE '' END AS v FROM conversations),
-m AS (SELECT r AS r0, r + 2 AS r1, c AS c0, c + 1 AS c1, v AS fill FROM c WHERE r % 4 = 1 AND c % 2 = 0 AND v <> ''),
-x AS (SELECT DISTINCT r, c, fill FROM m, UNNEST(range(r0, least(r1, (SELECT MAX(r) FROM c)) + 1)) a(r), UNNEST(range(c0, c1 + 1)) b(c))
+l AS (SELECT r // 20 AS f, MAX(r) AS last FROM c GROUP BY 1),
+m AS (SELECT r AS r0, r + 2 AS r1, c AS c0, c + 1 AS c1, v AS fill, last FROM c JOIN l ON f = r // 20 WHERE r % 4 = 1 AND c % 2 = 0 AND v <> ''),
+x AS (SELECT DISTINCT r, c, fill FROM m, UNNEST(range(r0, least(r1, last) + 1)) a(r), UNNEST(range(c0, c1 + 1)) b(c))
 SELECT COALESCE(c.r, x.r) AS row_no, COALESCE(c.c, x.c) AS col_no,
        CASE WHEN COALESCE(c.v, '') = '' THEN COALESCE(x.fill, c.v) ELSE c.v END AS value
 FROM c FULL JOIN x ON c.r = x.r AND c.c = x.c
