@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, filled, strip
+from .text import WS, filled, let, strip
 
 VIN_LENGTH = 17
 
@@ -87,129 +87,120 @@ def _positions(c: Column) -> Column:
 
 def structure_issues(raw: Column) -> Column:
     """Issues against the 17-character standard, in reading order."""
-    vin = normalize_vin(raw)
-    size = F.length(vin)
 
-    def char_issue(pos: Column) -> Column:
+    def char_issue(vin: Column, pos: Column) -> Column:
         ch = F.substring(vin, pos, F.lit(1))
-        return (
-            F.when(
-                ch.isin("I", "O", "Q"),
-                issue(
-                    "forbidden_char",
-                    F.format_string("Символ «%s» запрещён в VIN (позиция %d)", ch, pos),
-                    pos,
-                ),
-            )
-            .when(
-                ~ch.rlike("^[0-9A-Z]$"),
-                issue("invalid_char", F.format_string("Недопустимый символ «%s» (позиция %d)", ch, pos), pos),
-            )
+        return F.when(
+            ch.isin("I", "O", "Q"),
+            issue("forbidden_char", F.format_string("Символ «%s» запрещён в VIN (позиция %d)", ch, pos), pos),
+        ).when(
+            ~ch.rlike("^[0-9A-Z]$"),
+            issue("invalid_char", F.format_string("Недопустимый символ «%s» (позиция %d)", ch, pos), pos),
         )
 
-    expected = check_digit(vin)
-    actual = F.substring(vin, 9, 1)
-    chars = F.filter(F.transform(_positions(vin), char_issue), lambda x: x.isNotNull())
-    found = F.concat(
-        _present(
-            F.when(vin.rlike(r"[^\x00-\x7f]"), issue("non_ascii", "Обнаружены недопустимые не-ASCII символы")),
-            F.when(
-                size != VIN_LENGTH,
-                issue(
-                    "wrong_length",
-                    F.format_string("Длина VIN должна быть 17 символов, получено %d", size),
-                ),
-            ),
-        ),
-        chars,
-        _present(
-            F.when(
+    def found(vin: Column) -> Column:
+        size = F.length(vin)
+        # most ids are clean, so characters are walked only where one is wrong
+        chars = F.when(
+            vin.rlike("[^0-9A-HJ-NPR-Z]"),
+            F.filter(F.transform(_positions(vin), lambda pos: char_issue(vin, pos)), lambda x: x.isNotNull()),
+        ).otherwise(F.array().cast(_ISSUES))
+        actual = F.substring(vin, 9, 1)
+        wrong_digit = let(
+            check_digit(vin),
+            lambda expected: F.when(
                 expected.isNotNull() & (actual != expected),
                 issue(
                     "check_digit",
-                    F.format_string(
-                        "Неверная контрольная цифра в позиции 9: ожидается «%s», указано «%s»", expected, actual
-                    ),
+                    F.format_string("Неверная контрольная цифра в позиции 9: ожидается «%s», указано «%s»", expected, actual),
                     F.lit(9),
                 ),
-            )
-        ),
-    )
-    return F.when(filled(raw).isNull(), F.array(issue("empty", "VIN не указан"))).otherwise(found)
+            ),
+        )
+        return F.concat(
+            _present(
+                F.when(vin.rlike(r"[^\x00-\x7f]"), issue("non_ascii", "Обнаружены недопустимые не-ASCII символы")),
+                F.when(
+                    size != VIN_LENGTH,
+                    issue("wrong_length", F.format_string("Длина VIN должна быть 17 символов, получено %d", size)),
+                ),
+            ),
+            chars,
+            _present(wrong_digit),
+        )
+
+    return F.when(filled(raw).isNull(), F.array(issue("empty", "VIN не указан"))).otherwise(let(normalize_vin(raw), found))
 
 
 # fixed values: Latin characters confused with identifier digits
 _CONFUSED = ("IOQloiq", "1001010")
 
 
+def _core(raw: Column) -> Column:
+    return F.replace(F.replace(strip(F.coalesce(raw, F.lit(""))), F.lit("-"), F.lit("")), F.lit(" "), F.lit(""))
+
+
 def spelling_issues(raw: Column) -> Column:
     """How the id was written: case, blanks, dashes, Cyrillic, confused letters."""
     text = F.coalesce(raw, F.lit(""))
-    core = F.replace(F.replace(strip(text), F.lit("-"), F.lit("")), F.lit(" "), F.lit(""))
-    fixed = fix_keyboard(core)
-    vin = normalize_vin(raw)
-    was_cyrillic = fixed != core
 
-    def char_issue(pos: Column) -> Column:
+    def char_issue(fixed: Column, pos: Column) -> Column:
         ch = F.substring(fixed, pos, F.lit(1))
         digit = F.translate(ch, *_CONFUSED)
-        forbidden = F.upper(ch).isin("I", "O", "Q")
-        return (
-            F.when(
-                ch.rlike("^[IOQoiq]$"),
-                issue(
-                    "forbidden_letter",
-                    F.format_string("Запрещённая буква «%s» в позиции %d (в VIN используйте «%s»)", ch, pos, digit),
-                    pos,
-                    digit,
-                ),
-            )
-            .when(
-                (ch == "l") & ~forbidden,
-                issue("confusable", F.format_string("Символ «%s» похож на «%s» (позиция %d)", ch, digit, pos), pos, digit),
-            )
+        return F.when(
+            ch.rlike("^[IOQoiq]$"),
+            issue(
+                "forbidden_letter",
+                F.format_string("Запрещённая буква «%s» в позиции %d (в VIN используйте «%s»)", ch, pos, digit),
+                pos,
+                digit,
+            ),
+        ).when(
+            ch == "l",
+            issue("confusable", F.format_string("Символ «%s» похож на «%s» (позиция %d)", ch, digit, pos), pos, digit),
         )
 
-    chars = F.filter(F.transform(_positions(fixed), char_issue), lambda x: x.isNotNull())
-    suggested = F.upper(F.translate(fixed, *_CONFUSED))
-    changed = was_cyrillic | (F.size(chars) > 0)
-    found = F.concat(
-        _present(
-            F.when(
-                text != F.upper(text),
-                issue("lowercase", "VIN должен записываться заглавными латинскими буквами и цифрами"),
-            ),
-            F.when(text.rlike(r"(?U)\s"), issue("whitespace", "VIN не должен содержать пробелы")),
-            F.when(text.contains("-"), issue("separators", "VIN не должен содержать дефисы")),
-            F.when(
-                was_cyrillic,
-                issue(
-                    "cyrillic",
-                    "Обнаружена кириллица — исправлена с учётом раскладки клавиатуры",
-                    suggestion=normalize_vin(fixed),
+    def found(w: Column) -> Column:
+        fixed, vin, cyrillic = w["fixed"], w["vin"], w["core"] != w["fixed"]
+        confused = fixed.rlike("[IOQloiq]")
+        chars = F.when(
+            confused,
+            F.filter(F.transform(_positions(fixed), lambda pos: char_issue(fixed, pos)), lambda x: x.isNotNull()),
+        ).otherwise(F.array().cast(_ISSUES))
+        suggested = F.upper(F.translate(fixed, *_CONFUSED))
+        return F.concat(
+            _present(
+                F.when(
+                    text != F.upper(text),
+                    issue("lowercase", "VIN должен записываться заглавными латинскими буквами и цифрами"),
                 ),
-            ),
-        ),
-        chars,
-        _present(
-            F.when(
-                changed & (F.length(suggested) == VIN_LENGTH) & (suggested != vin),
-                issue(
-                    "suggestion",
-                    F.concat(F.lit("Возможный исправленный VIN: "), suggested),
-                    suggestion=suggested,
+                F.when(text.rlike(r"(?U)\s"), issue("whitespace", "VIN не должен содержать пробелы")),
+                F.when(text.contains("-"), issue("separators", "VIN не должен содержать дефисы")),
+                F.when(
+                    cyrillic,
+                    issue(
+                        "cyrillic",
+                        "Обнаружена кириллица — исправлена с учётом раскладки клавиатуры",
+                        suggestion=normalize_vin(fixed),
+                    ),
                 ),
             ),
-            F.when(
-                F.length(vin) > VIN_LENGTH,
-                issue(
-                    "extra_chars",
-                    F.format_string("Лишние символы: длина %d вместо 17", F.length(vin)),
+            chars,
+            _present(
+                F.when(
+                    (cyrillic | confused) & (F.length(suggested) == VIN_LENGTH) & (suggested != vin),
+                    issue("suggestion", F.concat(F.lit("Возможный исправленный VIN: "), suggested), suggestion=suggested),
+                ),
+                F.when(
+                    F.length(vin) > VIN_LENGTH,
+                    issue("extra_chars", F.format_string("Лишние символы: длина %d вместо 17", F.length(vin))),
                 ),
             ),
-        ),
-    )
-    return F.when(filled(raw).isNull(), F.array().cast(_ISSUES)).otherwise(found)
+        )
+
+    core = _core(raw)
+    written = F.struct(core.alias("core"), fix_keyboard(core).alias("fixed"), normalize_vin(raw).alias("vin"))
+    return F.when(filled(raw).isNull(), F.array().cast(_ISSUES)).otherwise(let(written, found))
 
 
 _ISSUES = "array<struct<code:string,message:string,position:int,suggestion:string>>"
@@ -217,10 +208,11 @@ _ISSUES = "array<struct<code:string,message:string,position:int,suggestion:strin
 
 def suggested_vin(raw: Column) -> Column:
     """The spelling check's proposal, null where nothing was changed."""
-    core = F.replace(F.replace(strip(F.coalesce(raw, F.lit(""))), F.lit("-"), F.lit("")), F.lit(" "), F.lit(""))
-    fixed = fix_keyboard(core)
-    suggested = F.upper(F.translate(fixed, *_CONFUSED))
-    return F.when((fixed != core) | fixed.rlike("[IOQloiq]"), suggested)
+    core = _core(raw)
+    changed = lambda fixed: F.when(
+        (fixed != core) | fixed.rlike("[IOQloiq]"), F.upper(F.translate(fixed, *_CONFUSED))
+    )
+    return let(fix_keyboard(core), changed)
 
 
 # fixed values: letters of a Russian plate and their Latin doubles

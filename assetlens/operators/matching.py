@@ -33,20 +33,35 @@ def _map(values: dict[str, int], c: Column) -> Column:
 # --- relevance --------------------------------------------------------------------
 
 
-def with_relevance(pairs: DataFrame, key: str = "object_key", object_address: str = "object_address") -> DataFrame:
-    """Score and reasons of listing rows joined to their object's address."""
-    hay = F.lower(F.concat_ws(" ", "title", "description", "address"))
-    where, matched = F.col(object_address), F.col("matched_by")
-    prepared = pairs.withColumns(
+def object_terms(objects: DataFrame, key: str = "object_key", address: str = "object_address") -> DataFrame:
+    """What relevance looks for, worked out once per object: written variants
+    of the key, city, street words, house number."""
+    a = F.col(address)
+    once = objects.groupBy(key).agg(F.first(address, ignorenulls=True).alias(address))
+    return once.select(
+        key,
+        F.transform(key_variants(F.coalesce(F.col(key), F.lit(""))), F.lower).alias("_variants"),
+        addr.city(a).alias("_city"),
+        addr.street_tokens(F.coalesce(a, F.lit(""))).alias("_street"),
+        addr.house_number(a).alias("_house"),
+    )
+
+
+def with_relevance(listings: DataFrame, objects: DataFrame, key: str = "object_key", object_address: str = "object_address") -> DataFrame:
+    """Score and reasons of listings against the object they were found for.
+
+    ``objects`` has one address per key; only its few derived terms travel to
+    the listings.
+    """
+    matched = F.col("matched_by")
+    joined = listings.join(object_terms(objects, key, object_address), key)
+    prepared = joined.withColumn("_hay", F.lower(F.concat_ws(" ", "title", "description", "address"))).withColumns(
         {
-            "_hay": hay,
-            "_city": addr.city(where),
-            "_street": addr.street_tokens(F.coalesce(where, F.lit(""))),
-            "_house": addr.house_number(where),
-            "_words": addr.word_tokens(hay, addr.STOP_WORDS),
-            "_key_hit": text_mentions(hay, F.col(key)),
+            "_words": addr.word_tokens(F.col("_hay"), addr.STOP_WORDS),
+            "_key_hit": F.exists("_variants", lambda v: F.col("_hay").contains(v)),
         }
-    ).withColumn("_hits", F.filter("_street", lambda t: F.array_contains("_words", t)))
+    )
+    prepared = prepared.withColumn("_hits", F.filter("_street", lambda t: F.array_contains("_words", t)))
     hits, asked = F.size("_hits"), F.size("_street")
     street_points = (
         F.when((asked >= 2) & (hits >= 2), hits * 25).when((asked == 1) & (hits == 1), F.lit(30)).otherwise(F.lit(0))
@@ -78,7 +93,7 @@ def with_relevance(pairs: DataFrame, key: str = "object_key", object_address: st
     )
     return prepared.withColumns(
         {"score": score, "reasons": F.filter(reasons, lambda r: r.isNotNull()), "mentions_key": F.col("_key_hit")}
-    ).drop("_hay", "_city", "_street", "_house", "_words", "_hits", "_key_hit")
+    ).drop("_hay", "_city", "_street", "_house", "_words", "_hits", "_key_hit", "_variants")
 
 
 def keep_relevant(scored: DataFrame) -> DataFrame:

@@ -345,40 +345,49 @@ def history_cards(df: DataFrame, payload: str, query: str, is_plate: Column, *ke
     )
 
 
+_REPORT = (
+    "struct<status string, error string, report struct<header struct<title string>, vin string, "
+    "pts_info map<string, string>, vehicle map<string, string>>>"
+)
+
+
 def report_cards(df: DataFrame, payload: str, query: str, *keep: str) -> DataFrame:
     """Cards from the report provider's JSON: registration block first, then
     the vehicle block, then the report's title (``Make Model, 2016``)."""
-    at = lambda path: F.get_json_object(F.col(payload), path)
+    # nested objects come back as their JSON text
+    df = df.withColumn("_p", F.from_json(payload, _REPORT))
 
-    def field(*paths: str) -> Column:
+    def field(*places: tuple[str, str]) -> Column:
         # a field is a plain value or an object with one of these texts
         tries = []
-        for path in paths:
-            raw = at(f"$.report.{path}")
-            inner = [at(f"$.report.{path}.{k}") for k in ("value", "text", "name")]
-            tries += [ids.fold_lookalikes(x) for x in inner] + [F.when(~raw.startswith("{"), ids.fold_lookalikes(raw))]
-        return F.coalesce(*tries)
+        for block, name in places:
+            raw = F.try_element_at(F.col(f"_p.report.{block}"), F.lit(name))
+            inner = F.coalesce(*[F.get_json_object(raw, f"$.{k}") for k in ("value", "text", "name")])
+            tries.append(F.when(raw.startswith("{"), inner).otherwise(raw))
+        return F.coalesce(*[ids.fold_lookalikes(x) for x in tries])
 
-    title = ids.fold_lookalikes(at("$.report.header.title"))
+    title = ids.fold_lookalikes(F.col("_p.report.header.title"))
     head = squeeze(extract(title, r"^([^,]+?)(?:,\s*[0-9]{4})?$"))
     title_year = extract(title, r"^[^,]+?,\s*([0-9]{4})$")
-    make0, model0 = field("pts_info.mark", "vehicle.mark"), field("pts_info.model", "vehicle.model")
-    year0 = field("pts_info.year", "vehicle.year")
+    make0, model0 = field(("pts_info", "mark"), ("vehicle", "mark")), field(("pts_info", "model"), ("vehicle", "model"))
+    year0 = field(("pts_info", "year"), ("vehicle", "year"))
     year0 = F.coalesce(_money_free(year0), year0)
     from_title = make0.isNull() & model0.isNull() & head.isNotNull()
     make = F.when(from_title, F.substring_index(head, " ", 1)).otherwise(make0)
     model = F.when(from_title, non_empty(F.regexp_replace(head, r"^\S+\s*", ""))).otherwise(model0)
     year = F.when(from_title, F.coalesce(year0, title_year)).otherwise(year0)
-    vin = F.coalesce(ids.fold_lookalikes(at("$.report.pts_info.vin")), ids.fold_lookalikes(at("$.report.vin")))
-    failed = F.coalesce((at("$.status") == "ERROR") | filled(at("$.error")).isNotNull(), F.lit(False))
+    vin = F.coalesce(
+        ids.fold_lookalikes(F.try_element_at("_p.report.pts_info", F.lit("vin"))), ids.fold_lookalikes(F.col("_p.report.vin"))
+    )
+    failed = F.coalesce((F.col("_p.status") == "ERROR") | filled(F.col("_p.error")).isNotNull(), F.lit(False))
     nothing = F.coalesce(make, model, year, vin).isNull()
-    code = F.coalesce(ids.fold_lookalikes(at("$.error")), F.lit("NOT_FOUND"))
+    code = F.coalesce(ids.fold_lookalikes(F.col("_p.error")), F.lit("NOT_FOUND"))
     missing = F.lit("По этому госномеру данных не найдено")
     error = F.when(
         failed, F.when(F.upper(code).isin("NOT_FOUND", "NOT_FOUND_ERROR"), missing).otherwise(F.concat(F.lit("Отчёт: "), code))
     ).when(nothing, missing)
     found = ~failed & ~nothing
-    power, color, volume = field("pts_info.horse_power"), field("pts_info.color"), field("pts_info.displacement")
+    power, color, volume = field(("pts_info", "horse_power")), field(("pts_info", "color")), field(("pts_info", "displacement"))
     when_found = lambda c: F.when(found, c)
     return _card(
         df,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, ids, numbers
 from ..operators import classifier, deals
 from ..sources import deal_files
-from .tables import table
+from .tables import spread, table
 
 # fixed values: which deal category stands for which part type
 PART_CATEGORY = {
@@ -227,7 +227,7 @@ FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 5 = 0
 
 def normalised_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Cadastral keys out of noisy text, and the number dialects on prices."""
-    line = table(spark, sf, "lineitem")
+    line = spread(table(spark, sf, "lineitem"))
     raw = F.concat(
         F.lit("№ "),
         F.concat_ws(

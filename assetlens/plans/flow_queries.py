@@ -14,7 +14,7 @@ from ..functions import address as addr
 from ..functions import names, numbers
 from ..operators import documents, matching, register, retrieval, vehicles, workload
 from ..sources import html, responses
-from .tables import table
+from .tables import spread, table
 
 
 def _s(c: Column | str) -> Column:
@@ -33,7 +33,7 @@ _EXPORT = {"view": "1-я линия_a.xlsx", "signup": "Онлайн оценк
 def request_exports(spark: SparkSession, sf: str) -> DataFrame:
     """Events as rows of five exports: columns inferred, rows typed, rejected
     or counted per person and line."""
-    e = table(spark, sf, "events")
+    e = spread(table(spark, sf, "events"))
     w = F.floor("value").cast("bigint")
     file = F.lit("")
     for t, name in _EXPORT.items():
@@ -95,7 +95,7 @@ def conclusion_fields(spark: SparkSession, sf: str) -> DataFrame:
         "З-01 - Риск ", _s("o_orderstatus"), ". Минимизация: запросить выписку.\n",
         F.when(k % 3 == 0, _cat("З-02 | Второй риск объекта | Сверить документы\n", "З-01 - Риск ", _s("o_orderstatus"), ". Минимизация: ещё раз\n")).otherwise(""),
     )
-    docs = table(spark, sf, "orders").select(k.alias("doc_id"), text.alias("text"))
+    docs = spread(table(spark, sf, "orders")).select(k.alias("doc_id"), text.alias("text"))
     out = documents.extract_documents(docs)
     risk = F.get("risks", F.lit(0))
     return out.select(
@@ -127,7 +127,7 @@ def short_form_risks(spark: SparkSession, sf: str) -> DataFrame:
         "Справочная информация\nСрок действия заключения: ", F.date_format(F.date_add("o_orderdate", 365), "dd.MM.yyyy"),
         "\nСрок кредита: ", _s(k % 60), " мес\nКлиент известен банку\nABCDEFGH\n",
     )
-    out = documents.extract_documents(table(spark, sf, "orders").select(k.alias("doc_id"), text.alias("text")))
+    out = documents.extract_documents(spread(table(spark, sf, "orders")).select(k.alias("doc_id"), text.alias("text")))
     r = lambda i, f: F.get("risks", F.lit(i))[f]
     return out.select(
         "doc_id", "conclusion_number", "client_name", "tax_id", "validity_date", "credit_term", "reference_text",
@@ -204,7 +204,7 @@ _STRUCTURED_HEADER = ("Вид обеспечения", "Залогодатель
 def register_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as rows of registers (one file per customer): kinds, identifiers,
     sums, scores and verdicts."""
-    o = table(spark, sf, "orders")
+    o = spread(table(spark, sf, "orders"))
     k = F.col("o_orderkey")
     vin = F.upper(F.substring(F.translate(F.md5(_s(k)), "abcdef", "ABCDEF"), 1, 17))
     kind = (
@@ -253,7 +253,7 @@ FROM x
 
 def cell_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Label/value pairs of neighbouring cells and of running text."""
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part"))
     cells = F.array(F.lit("Марка"), F.col("p_brand"), F.lit("Модель:"), F.lit("Площадь"), F.col("p_type"), F.lit("x"))
     text = _cat("Вид обеспечения: ", F.col("p_name"), " Год выпуска: ", _s("p_size"), "\nVIN номер\n", F.upper("p_type"))
     a = p.select("p_partkey", names.neighbour_fields(cells).alias("c"), names.labelled_fields(text).alias("t"))
@@ -282,7 +282,7 @@ def listing_table(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 2 == 0, F.lit('<td><i class="badge--active"></i></td>')).otherwise(F.lit('<td><i class="badge--inactive"></i></td>')),
         F.when(k % 3 == 0, _cat('<td><img alt="" src="/img/', _s(k), '.jpg"></td>')).otherwise(""), "</tr>",
     )
-    page = table(spark, sf, "part").select(k.alias("page"), _cat("<table>", row, '<tr class="ads-table__row"><td>no link</td></tr></table>').alias("html"))
+    page = spread(table(spark, sf, "part")).select(k.alias("page"), _cat("<table>", row, '<tr class="ads-table__row"><td>no link</td></tr></table>').alias("html"))
     out = html.listing_rows(page, "html", "analog", "https://example.org", "catalog", "page")
     return out.select(
         "page", "id", "title", "address", "description", "price", "distance", numbers.distance_km(F.col("distance")).alias("km"),
@@ -316,7 +316,7 @@ def registry_cards(spark: SparkSession, sf: str) -> DataFrame:
         "&#128994; <div><span>вид </span></div>Ипотека<span> дата </span> <b>12.03.</b>2020 &#128994; x</div>",
         '<div id="pay_lk_service"></div>Связи с другими объектами Найдено - ', _s(k % 5), "</html>",
     )
-    cards = html.registry_card(table(spark, sf, "part").select(k.alias("page"), body.alias("html"), F.lit("?").alias("asked")), "html", "asked", "page")
+    cards = html.registry_card(spread(table(spark, sf, "part")).select(k.alias("page"), body.alias("html"), F.lit("?").alias("asked")), "html", "asked", "page")
     rec = F.get("restriction_records", F.lit(0))
     return cards.select(
         "page", "key", "address", "object_type", "area", "value", "boundaries", F.col("rights_count").cast("bigint").alias("rights_count"),
@@ -333,16 +333,31 @@ SELECT p_partkey AS page, CASE WHEN p_partkey % 2 = 0 THEN '59:01:1:' || p_partk
 """
 
 
+def _object_columns() -> dict[str, Column]:
+    size = F.col("p_size")
+    street = F.when(size % 2 == 0, F.lit("Садовая Большая")).otherwise(F.lit("Комсомольская"))
+    return {
+        "object_key": F.concat_ws(":", F.lit("59"), F.lit("01"), F.lpad(_s(size), 7, "0"), _s("p_partkey")),
+        "object_address": _cat("Пермский край, г. Пермь, ул. ", street, ", д. ", _s(size)),
+        "street": street,
+    }
+
+
+def _line_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as objects with an address."""
+    c = _object_columns()
+    return table(spark, sf, "part").select(*[c[n].alias(n) for n in ("object_key", "object_address")])
+
+
 def _line_listings(spark: SparkSession, sf: str) -> DataFrame:
     """Lines as listings of their part: text, match kind, distance, order."""
-    li = table(spark, sf, "lineitem")
-    part = table(spark, sf, "part").select("p_partkey", "p_size")
-    size, n = F.col("p_size"), F.col("l_linenumber")
-    street = F.when(size % 2 == 0, F.lit("Садовая Большая")).otherwise(F.lit("Комсомольская"))
+    c = _object_columns()
+    part = table(spark, sf, "part").select("p_partkey", "p_size", *[e.alias(n) for n, e in c.items()])
+    n, size, street = F.col("l_linenumber"), F.col("p_size"), F.col("street")
     seen = F.when(n % 3 == 0, _cat("продаю дом, ", street)).when(n % 3 == 1, F.lit("участок садовая роща")).otherwise(F.lit("гараж"))
-    return li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.concat_ws(":", F.lit("59"), F.lit("01"), F.lpad(_s(size), 7, "0"), _s("l_partkey")).alias("object_key"),
-        _cat("Пермский край, г. Пермь, ул. ", street, ", д. ", _s(size)).alias("object_address"),
+    return table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        "object_key",
+        "object_address",
         F.lit("catalog").alias("source"),
         _s(F.col("l_suppkey") % 5).alias("id"),
         F.lit("").alias("url"),
@@ -357,7 +372,9 @@ def _line_listings(spark: SparkSession, sf: str) -> DataFrame:
 
 def listing_relevance(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of all listings against their object, the keep rule applied."""
-    kept = matching.keep_relevant(matching.with_relevance(_line_listings(spark, sf)))
+    found = _line_listings(spark, sf)
+    objects = _line_objects(spark, sf)
+    kept = matching.keep_relevant(matching.with_relevance(found.drop("object_address"), objects))
     return kept.groupBy("score", F.coalesce("matched_by", F.lit("-")).alias("matched_by"), "mentions_key").agg(
         F.count("*").alias("n"), F.min(F.size("reasons")).cast("bigint").alias("reasons")
     ).withColumn("score", F.col("score").cast("bigint"))
@@ -448,7 +465,7 @@ def address_parts(spark: SparkSession, sf: str) -> DataFrame:
     a = F.when(k % 2 == 0, _cat("Российская Федерация, Пермский край, г. Город", _s("c_nationkey"), ", ул. Ленина ", _s(k % 50), ", д. ", _s(k))).otherwise(
         _cat("Тульская область, Узловая, Садовая улица, ", _s(k))
     )
-    c = table(spark, sf, "customer").select("c_custkey", a.alias("a"), F.when(k % 3 == 0, F.lit("Здание")).otherwise(F.lit("Земельный участок")).alias("kind"))
+    c = spread(table(spark, sf, "customer")).select("c_custkey", a.alias("a"), F.when(k % 3 == 0, F.lit("Здание")).otherwise(F.lit("Земельный участок")).alias("kind"))
     x = F.col("a")
     return c.select(
         "c_custkey", addr.city(x).alias("city"), addr.street(x).alias("street"), addr.house_number(x).alias("house"),
@@ -480,7 +497,7 @@ def registry_features(spark: SparkSession, sf: str) -> DataFrame:
     feature = lambda key, extra: _cat('{"properties":{"categoryName":"Cat","options":{"cad_num":"', key, '","address":"', F.col("p_name"), '"', extra, '}},"geometry":{"type":"Polygon","coordinates":', sq, "}}")
     extra = F.when(k % 2 == 0, _cat(',"land_record_area":', _s(size), ',"cost_value":"', _s(F.floor("p_retailprice")), '"')).otherwise(_cat(',"area":', _s(size + 1)))
     body = _cat('{"data":{"type":"FeatureCollection","features":[', feature(F.lit("other"), F.lit("")), ",", feature(_cat("59:01:1:", _s(k)), extra), "]}}")
-    df = table(spark, sf, "part").select(k.alias("page"), _cat("59:01:1:", _s(k)).alias("asked"), body.alias("body"))
+    df = spread(table(spark, sf, "part")).select(k.alias("page"), _cat("59:01:1:", _s(k)).alias("asked"), body.alias("body"))
     picked = df.withColumn("feature", responses.pick_feature(responses.features_of(F.col("body")), F.col("asked")))
     out = responses.registry_object(picked, "feature", "asked", "page")
     return out.select(
@@ -504,7 +521,7 @@ def provider_cards(spark: SparkSession, sf: str) -> DataFrame:
     enriched by id."""
     k = F.col("c_custkey")
     vin = _cat("XTA", F.lpad(_s(k), 14, "0"))
-    c = table(spark, sf, "customer").select(_s(k).alias("query_key"), vin.alias("vin"), "c_mktsegment", "c_nationkey", k.alias("k"))
+    c = spread(table(spark, sf, "customer")).select(_s(k).alias("query_key"), vin.alias("vin"), "c_mktsegment", "c_nationkey", k.alias("k"))
     history = F.when(F.col("k") % 3 == 0, F.lit('{"status":false,"message":"нет данных"}')).otherwise(
         _cat('{"status":true,"carData":{"model":"', F.col("c_mktsegment"), ' Mod', _s("c_nationkey"), '","year":', _s(F.col("k") % 20 + 2000), ',"volume":1598,"vin":"', F.col("vin"), '"}}')
     )

@@ -10,7 +10,7 @@ from ..functions import geo
 from ..functions.text import extract, squeeze, strip_tags
 from ..operators import matching, registry
 from ..sources import responses
-from .tables import table
+from .tables import spread, table
 
 
 def keep_best(spark: SparkSession, sf: str) -> DataFrame:
@@ -170,7 +170,7 @@ SELECT CASE WHEN total = 0 THEN 'partial' WHEN matched < total THEN 'warning' EL
 def mentions(spark: SparkSession, sf: str) -> DataFrame:
     """Order numbers that stand in document texts."""
     return matching.token_mentions(
-        table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "orders"), "o_orderkey"
+        spread(table(spark, sf, "documents")), "doc_id", "text", table(spark, sf, "orders"), "o_orderkey"
     ).select("doc_id", "token")
 
 
@@ -189,7 +189,7 @@ def token_relevance(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     words = lambda c: F.array_distinct(addr.word_tokens(c, min_len=4))
-    d = table(spark, sf, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("w"))
+    d = spread(table(spark, sf, "documents")).select("doc_id", F.explode(words(F.col("text"))).alias("w"))
     b = table(spark, sf, "benchmark").select("item_id", F.explode(words(F.col("text"))).alias("w"))
     shared = d.join(b, "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
     best = W.partitionBy("doc_id").orderBy(F.desc("shared"), "item_id")

@@ -9,7 +9,7 @@ from ..functions.text import is_garbage_line, map_last_wins, map_merge, semicolo
 from ..operators import documents, register
 from ..operators.sums import running_sums
 from ..sources import grids
-from .tables import table
+from .tables import spread, table
 
 
 def _orders_as_objects(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,7 +202,7 @@ FROM conversations
 def text_fields(spark: SparkSession, sf: str) -> DataFrame:
     """How many card-like numbers, phones, links and dates each text holds."""
     n = lambda p: F.regexp_count("text", F.lit(p)).cast("bigint")
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id",
         n("[0-9]{16}").alias("card_like"),
         n("[0-9]{3}-[0-9]{4}").alias("phone_like"),
@@ -224,7 +224,7 @@ def line_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Lines per document and how many of them are symbol garbage."""
     lines = F.transform(F.split("text", "\n"), F.trim)
     filled = F.filter(lines, lambda x: x != "")
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id",
         F.size(filled).cast("bigint").alias("lines"),
         F.size(F.filter(filled, is_garbage_line)).cast("bigint").alias("garbage"),
@@ -269,7 +269,7 @@ FROM orders LEFT JOIN c ON l_orderkey = o_orderkey
 
 def semi_structured_fields(spark: SparkSession, sf: str) -> DataFrame:
     """``key: value`` text with repeated keys, merged with event properties."""
-    e = table(spark, sf, "events")
+    e = spread(table(spark, sf, "events"))
     text = F.concat(
         F.lit("Kind; User : "), F.col("user_id").cast("string"), F.lit("; type: н/д; USER: "),
         F.col("event_type"), F.lit(";; Value: "), F.floor("value").cast("string"),

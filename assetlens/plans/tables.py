@@ -9,3 +9,14 @@ from ..session import tune
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan over at least as many tasks as there are cores.
+
+    For row-heavy parsing on top of a scan. A small table in one row group would
+    keep one core busy; a large one has more splits than cores and is returned
+    as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..operators import vehicles
-from .tables import table
+from .tables import spread, table
 
 
 def _ids(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").select("c_custkey", F.substring(F.upper(F.md5("c_name")), 1, 17).alias("vin"))
+    return spread(table(spark, sf, "customer")).select("c_custkey", F.substring(F.upper(F.md5("c_name")), 1, 17).alias("vin"))
 
 
 _IDS_SQL = "ids AS (SELECT c_custkey, substr(upper(md5(c_name)), 1, 17) AS vin FROM customer)"

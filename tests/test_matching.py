@@ -28,13 +28,15 @@ def test_relevance_points(spark):
         dict(id="one", title="большая комната"),
         dict(id="house", title="дом 5"),
     )
-    got = {r.id: (r.score, r.mentions_key, list(r.reasons)) for r in m.with_relevance(df).collect()}
+    objects = df.select("object_key", "object_address").distinct()
+    scored = m.with_relevance(df.drop("object_address"), objects)
+    got = {r.id: (r.score, r.mentions_key, list(r.reasons)) for r in scored.collect()}
     assert got["key"][:2] == (100, True)
     assert got["analog"] == (60, False, ["аналог (3 км)"])
     assert got["full"][0] == 55 + 20 + 50 + 25
     assert got["one"][0] == 0  # one of two street words is not enough
     assert got["house"][0] == 0  # a house number needs a street word
-    assert {r.id for r in m.keep_relevant(m.with_relevance(df)).collect()} == {"key", "analog", "full"}
+    assert {r.id for r in m.keep_relevant(scored).collect()} == {"key", "analog", "full"}
 
 
 def test_best_listing_wins_and_ties_keep_the_first(spark):
