@@ -355,7 +355,7 @@ def _line_listings(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").select("p_partkey", "p_size", *[e.alias(n) for n, e in c.items()])
     n, size, street = F.col("l_linenumber"), F.col("p_size"), F.col("street")
     seen = F.when(n % 3 == 0, _cat("продаю дом, ", street)).when(n % 3 == 1, F.lit("участок садовая роща")).otherwise(F.lit("гараж"))
-    return table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+    return spread(table(spark, sf, "lineitem")).join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         "object_key",
         "object_address",
         F.lit("catalog").alias("source"),
@@ -440,7 +440,7 @@ def key_mentions(spark: SparkSession, sf: str) -> DataFrame:
         .when(n == 5, _cat("59 01 ", wide, " ", tail, " руб"))
         .otherwise(_cat("цена ", _s(k), " руб"))
     )
-    docs = table(spark, sf, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("doc"), text.alias("text")).distinct()
+    docs = spread(table(spark, sf, "lineitem")).select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("doc"), text.alias("text")).distinct()
     return matching.mentions(docs, "doc", "text", objects, "key").groupBy("key").agg(F.count("*").alias("texts"))
 
 
