@@ -374,13 +374,15 @@ def table_risks(rows: DataFrame, limit: int | None = SHORT_LIMIT) -> DataFrame:
     cell = lambda i: F.coalesce(F.get("cells", F.lit(i)), F.lit(""))
     number = F.regexp_replace(F.regexp_replace(cell(1), r"(?U)\s+", ""), r"\.+$", "")
     risk = F.when(F.size("cells") > 2, _cell_risk(cell(2))).otherwise(F.lit(""))
+    # a row without a risk cell counts when it names objects; the cheap test first
+    inside = inside.where((F.size("cells") > 2) | (_cell_objects(F.col("_first")) != NONE))
     found = inside.select(
         "doc_id",
         F.struct("table_no", "row").alias("_at"),
         _cell_objects(F.col("_first")).alias("identifier"),
         number.alias("risk_number"),
         risk.alias("risk"),
-    ).where((F.col("risk") != "") | (F.col("identifier") != NONE))
+    )
     low = [F.lower(c).alias(f"_{c}") for c in ("identifier", "risk_number", "risk")]
     once = found.groupBy("doc_id", *low).agg(F.min_by(F.struct("_at", "identifier", "risk_number", "risk"), "_at").alias("r"))
     out = once.select("doc_id", "r.*")
