@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import object_key, quarter_key
 from ..functions.numbers import area_number, price_number, round_half_up
 from ..functions.text import lookup, non_empty
+from ..session import label_table
 from .classifier import (
     BUILDING,
     CATEGORIES,
@@ -246,8 +247,8 @@ def rolled_up_stats(parts: DataFrame, categories: Iterable[str]) -> DataFrame:
     named = totals.withColumn(
         "category", F.when(F.col("is_total") == 1, F.lit("all")).otherwise(F.col("category"))
     )
-    dim = parts.sparkSession.createDataFrame([(n,) for n in names], "category string")
-    return F.broadcast(dim).join(named, "category", "left").select("category", *finish_stats())
+    dim = label_table(parts.sparkSession, "category", *[(n,) for n in names])
+    return dim.join(named, "category", "left").select("category", *finish_stats())
 
 
 def counts_by_key(deals: DataFrame, key: str = "quarter_cad_number") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings safe to change on a running session. Nothing here alters results;
 # they let adaptive execution split hot keys and size reduce partitions.
@@ -48,6 +48,13 @@ def local_session(cores: int | str = 8, app: str = "assetlens", shuffle_partitio
     return spark
 
 
+def label_table(spark: SparkSession, columns: str, *rows: tuple[str, ...]) -> DataFrame:
+    """A few fixed rows of text as a literal relation, whose size Spark knows."""
+    quoted = lambda v: "'" + v.replace("'", "\\'") + "'"
+    values = ", ".join("(" + ", ".join(quoted(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A folder every executor can reach, under the cluster's checkpoint folder.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
+from ..session import label_table
 
 # fixed values: object-type codes that override whatever the book says
 TYPE_CODES = {
@@ -53,5 +54,5 @@ def mine_codes(books: DataFrame, text: str = "text") -> DataFrame:
         .groupBy("code")
         .agg(F.max_by("label", F.struct("book", "pos")).alias("label"))
     )
-    fixed = books.sparkSession.createDataFrame(list(TYPE_CODES.items()), "code string, label string")
+    fixed = label_table(books.sparkSession, "code, label", *TYPE_CODES.items())
     return mined.where(~F.col("code").isin(*TYPE_CODES)).unionByName(fixed)
