@@ -175,3 +175,25 @@ def test_file_gate(spark, tmp_path):
         "page.csv": "html page", "good.csv": None, "small.csv": "too small", "book.xlsx": None,
         "~$book.xlsx": "temporary file", "doc.pdf": "not a pdf",
     }
+
+
+def test_union_and_difference(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "k int, v string")
+    b = spark.createDataFrame([(1, "x")], "k int, v string")
+    assert sorted(tuple(r) for r in deals.difference(a, b).collect()) == [(1, "x"), (2, "y")]
+    both = deals.union_periods(a, b.withColumn("extra", F.lit(1)))
+    assert both.count() == 4 and both.columns == ["k", "v", "extra"]
+    assert {(r.k, r["count"]) for r in deals.counts_by_key(a, "k").collect()} == {(1, 2), (2, 1)}
+
+
+def test_json_sink(spark, tmp_path):
+    df = spark.createDataFrame([(1, "я")], "k int, v string")
+    deal_files.write_json_lines(df, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).first().v == "я"
+    assert deal_files.as_json(df).first().document == '{"k":1,"v":"я"}'
+
+
+def test_code_dictionary_from_json(spark, tmp_path):
+    (tmp_path / "codes.json").write_text('{"source": "x",\n "codes": {"1": "a", "02": "b"}}', encoding="utf-8")
+    rows = code_source.read_code_dictionary(spark, str(tmp_path / "codes.json")).collect()
+    assert [(r.code, r.label) for r in sorted(rows, key=lambda r: r.pos)] == [("1", "a"), ("02", "b")]

@@ -152,3 +152,41 @@ def test_labelled_text_and_names(values):
         "Легковой автомобиль", "квартира", "Квартира", "Квартира",
     ]
     assert values(names.land_plot_only(X), ["Земельный участок, 10 соток", "Дом"]) == ["Земельный участок", "Дом"]
+
+
+def test_boxes_and_links(spark):
+    square = "array(array(array(array(0D,1D),array(2D,5D),array(1D,-3D))), array(array(array(9D,9D))))"
+    row = spark.range(1).select(
+        geo.bounding_box(F.expr(square)).alias("box"),
+        geo.ring_centroid(F.expr(square)).alias("mid"),
+        geo.bounding_box(F.expr("cast(array() as array<array<array<array<double>>>>)")).alias("none"),
+        geo.map_link("https://maps.example/?layer=x", F.lit("77:01:1:2"), F.lit(55.5), F.lit(37.5)).alias("at"),
+        geo.map_link("https://maps.example/?layer=x", F.lit("77:01:1:2"), F.lit(None), F.lit(37.5)).alias("bare"),
+        address.search_link("https://list.example/land", F.lit("Москва"), F.lit(None).cast("string")).alias("search"),
+    ).first()
+    assert tuple(row.box) == (0, -3, 9, 9) and tuple(row.mid) == (1, 1) and row.none is None
+    assert row["at"] == "https://maps.example/?layer=x&zoom=18&lat=55.5&lon=37.5&cadastralNumber=77%3A01%3A1%3A2"
+    assert row.bare == "https://maps.example/?layer=x&cadastralNumber=77%3A01%3A1%3A2"
+    assert row.search == "https://list.example/land?region=%D0%9C%D0%BE%D1%81%D0%BA%D0%B2%D0%B0"
+
+
+def test_object_paths_and_short_addresses(values):
+    given = ["Россия, Пермский край, г. Пермь, ул. Мира, д. 5", None]
+    assert values(address.object_paths(F.lit("59:1:1:1"), X), given) == [
+        ["/object-59:1:1:1-rossiya-permskij-kraj-gorod-perm-ulica-mira-5/", "/object-59:1:1:1-g-perm-ul-mira-d-5/", "/object-59:1:1:1/"],
+        ["/object-59:1:1:1/"],
+    ]
+    assert values(address.short_for_street_view(X), ["Почтовый адрес ориентира: Тульская область, г. Узловая, д. 3"]) == ["Узловая, 3"]
+
+
+def test_terms_and_histogram(spark):
+    from assetlens.operators import workload
+
+    df = spark.createDataFrame([("01.07.2026 12:00", "2026-07-04 00:00:00"), ("x", "01.07.2026")], "s string, t string")
+    assert [r[0] for r in df.select(dates.term_days(F.col("s"), F.col("t"))).collect()] == [2.5, None]
+    k = spark.createDataFrame([(1, 0, 2, 0, 3)], ", ".join(f"csi_{b} int" for b in range(1, 6)))
+    assert workload.csi_histogram(k).first().csi_counts == [1, 0, 2, 0, 3]
+
+
+def test_lookup_quotes(values):
+    assert values(text.lookup({"a'b": "x\\y", "c": "d"}, X), ["a'b", "c", "?", None]) == ["x\\y", "d", None, None]
