@@ -15,7 +15,7 @@ from ..operators import deals, workload
 from ..session import shared_dir
 from ..sources import codes, deal_files
 from ..streaming import ingest, latest, live
-from .tables import table
+from .tables import spread, table
 
 
 def _run_dir(spark: SparkSession, name: str) -> str:
@@ -24,7 +24,7 @@ def _run_dir(spark: SparkSession, name: str) -> str:
 
 def _raw_deals(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as the 17 text columns of a deal file."""
-    li = table(spark, sf, "lineitem")
+    li = spread(table(spark, sf, "lineitem"))
     own = {
         "number": F.col("l_orderkey").cast("string"),
         "region_code": F.col("l_linenumber").cast("string"),
