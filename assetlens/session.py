@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 
@@ -55,13 +56,21 @@ def label_table(spark: SparkSession, columns: str, *rows: tuple[str, ...]) -> Da
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
 
 
+@functools.cache
+def _local_dir() -> str:
+    """The stand-in of this process."""
+    return tempfile.mkdtemp(prefix="assetlens-")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A folder every executor can reach, under the cluster's checkpoint folder.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, a laptop) a local temporary folder stands in.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local master
+    (tests, a laptop) may do without: one temporary folder then stands in.
     """
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
-        base = tempfile.mkdtemp(prefix="assetlens-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _local_dir()
     return f"{base.rstrip('/')}/{name}"
