@@ -168,9 +168,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that the classifier takes for label 1."""
-    model = fit(saved(measured(docs), "statistics"), labels)
+def accepted(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, that the classifier takes for label 1.
+
+    ``learn_from`` has the labelled texts, ``docs`` itself if not given. An earlier
+    filter leaves few bad ones, so a pipeline names the documents it began with.
+    """
+    model = fit(measured(docs if learn_from is None else learn_from), labels)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
