@@ -190,8 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     if len(shares) < 2:
         return Model(None, 0.0, 1.0, 0.0)
-    order = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("labelled_id"), "labelled_id"))
-    known = known.where(crc_of_id("labelled_id") % 3 != 1).withColumn("turn", order).where(F.col("turn") <= SAMPLE_PER_CLASS)
+    known = known.where(crc_of_id("labelled_id") % 3 != 1)
+    ranked = [known.where(F.col("label") == c).orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(SAMPLE_PER_CLASS) for c in (0, 1)]
+    known = ranked[0].union(ranked[1])
     # at most 2 * SAMPLE_PER_CLASS rows of two numbers: a proven bound for the broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(F.broadcast(known.select("labelled_id", "label")), F.col("id") == F.col("labelled_id"))

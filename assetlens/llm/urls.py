@@ -58,7 +58,7 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def _entropy(text: Column) -> Column:
     """Bits a character, over the characters' own frequencies."""
-    share = lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / F.length(text)
+    share = lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / F.greatest(F.length(text), F.lit(1))
     shares = F.transform(F.array_distinct(F.split(text, "")), share)
     return F.coalesce(F.aggregate(shares, F.lit(0.0), lambda sum_, p: sum_ - F.when(p > 0, p * F.log2(p)).otherwise(0.0)), F.lit(0.0))
 
@@ -74,7 +74,7 @@ def addressed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -
         F.substring_index("host", ".", -1).alias("suffix"),
         F.log1p(F.length("url")).alias("length"),
         (F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))).cast("double").alias("depth"),
-        F.when(F.length("url") > 0, digits / F.length("url")).otherwise(0.0).alias("digit_share"),
+        (digits / F.greatest(F.length("url"), F.lit(1))).alias("digit_share"),
         _entropy(F.col("url")).alias("entropy"),
         F.when(F.length(query) > 0, F.length(query) - F.length(F.replace(query, F.lit("&"), F.lit(""))) + 1).otherwise(0).cast("double").alias("parameters"),
         (F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1).cast("double").alias("host_labels"),
