@@ -310,7 +310,7 @@ def _pairs(*pairs: tuple[str, Column]) -> Column:
 
 
 def _cap(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.substr(c, F.lit(2)))
 
 
 def _report_entries(c: Column) -> Column:

@@ -24,7 +24,7 @@ from .classifier import (
     with_label_list,
 )
 
-DEFAULT_LIMIT = 10_000
+PAGE_LIMIT = 10_000  # rows that one page of results shows; nothing is cut unless asked for
 
 # fixed values: how people name the two kinds and the three object types
 KIND_WORDS = {
@@ -135,21 +135,23 @@ def search(
     year: int | None = None,
     object_types: Iterable[str] | None = None,
     operation_kinds: Iterable[str] | None = None,
-    limit: int = DEFAULT_LIMIT,
+    limit: int | None = None,
     tie_break: Sequence[str] = ("dataset_file", "number"),
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Deals of one quarter key: (rows up to ``limit``, statistics, summary).
+    """Deals of one quarter key: (rows, up to ``limit`` if given, statistics, summary).
 
     Statistics and summary cover the full match, not the shown rows.
     """
     key = quarter_argument(quarter)
     hits = deals.where(matching(key, year, types_from_words(object_types), kinds_from_words(operation_kinds)))
-    rows = hits.orderBy(*newest_first(tie_break)).limit(limit)
+    rows = hits.orderBy(*newest_first(tie_break))
+    rows = rows.limit(limit) if limit else rows
+    most = F.lit(limit).cast("bigint") if limit else F.col("total")
     summary = hits.agg(F.count("*").alias("total")).select(
         F.lit(key).alias("quarter_cad_number"),
         "total",
-        F.least("total", F.lit(limit)).alias("shown"),
-        (F.col("total") > limit).alias("truncated"),
+        F.least("total", most).alias("shown"),
+        (F.col("total") > most).alias("truncated"),
         F.when(
             F.col("total") == 0,
             F.lit(f"Записей по кварталу {key} за {year} год не найдено")

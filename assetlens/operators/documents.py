@@ -27,8 +27,8 @@ from ..functions.text import (
 )
 
 MIN_TEXT = 30
-FREE_LIMIT, SHORT_LIMIT = 20, 30
-RISK_WINDOW = 6000
+# how many risks a printed report shows and how far its risk section reaches; nothing is cut unless asked for
+REPORT_FREE_LIMIT, REPORT_SHORT_LIMIT, REPORT_WINDOW = 20, 30, 6000
 NONE = "—"
 
 # fixed values: titles, labels and patterns of the documents (i: any case, U:
@@ -87,7 +87,7 @@ def client_display(c: Column) -> Column:
         # only words written in capitals are re-cased
         word = lambda w: F.when(
             (F.length(w) > 1) & (w == F.upper(w)) & w.rlike(r"\p{L}"),
-            F.concat(F.substring(w, 1, 1), F.lower(F.substring(w, 2, 1000))),
+            F.concat(F.substring(w, 1, 1), F.lower(F.substr(w, F.lit(2)))),
         ).otherwise(w)
         full = F.array_join(F.transform(F.split(person, " "), word), " ")
         company = r"(?iU)^(ООО|АО|ПАО|ЗАО|ОАО)\s*[\"«]([^\"»]+)[\"»]\s*$"
@@ -199,20 +199,26 @@ def _risk(identifier: Column, number: Column, risk: Column, minimization: Column
 
 
 def _first_of_each(items: Column, *fields: str) -> Column:
-    """Array without later items that equal an earlier one in these fields."""
-    same = lambda a, b: F.lower(F.concat_ws("\u0001", *[a[f] for f in fields])) == F.lower(
-        F.concat_ws("\u0001", *[b[f] for f in fields])
-    )
-    return let(
-        items, lambda xs: F.filter(xs, lambda x, i: ~F.exists(F.slice(xs, 1, i), lambda earlier: same(earlier, x)))
-    )
+    """Array without later items that equal an earlier one in these fields.
+
+    Sorted by the fields, equal items are neighbours, so a long document costs
+    n log n comparisons.
+    """
+    key = lambda x: F.lower(F.concat_ws("\u0001", *[x[f] for f in fields]))
+    tagged = F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
 
+    def firsts(ts: Column) -> Column:
+        new = F.filter(ts, lambda t, j: (j == 0) | (t["k"] != F.get(ts, F.greatest(j - 1, F.lit(0)))["k"]))
+        return F.transform(F.array_sort(F.transform(new, lambda t: F.struct(t["i"].alias("i"), t["x"].alias("x")))), lambda t: t["x"])
 
-def free_text_risks(text: Column, window: int | None = RISK_WINDOW, limit: int | None = FREE_LIMIT) -> Column:
+    return F.when(F.size(items) < 2, items).otherwise(let(tagged, firsts))
+
+
+def free_text_risks(text: Column, window: int | None = None, limit: int | None = None) -> Column:
     """Risks written one per line (or in pipes), else as bullets.
 
     ``window`` is how far the risk section reaches after its heading and
-    ``limit`` how many risks a report shows; None lifts either.
+    ``limit`` how many risks are returned; None, the default, cuts nothing.
     """
     reach = f"{{0,{window}}}" if window else "*"
     section = F.coalesce(extract(text, _RISK_SECTION + f"(.{reach})"), text)
@@ -229,7 +235,11 @@ def free_text_risks(text: Column, window: int | None = RISK_WINDOW, limit: int |
                 ),
             )
 
-        return F.coalesce(parts(_RISK_LINE), parts(_RISK_PIPES))
+        # most lines name neither word; the plain tests spare them the patterns
+        low = F.lower(line)
+        return F.coalesce(
+            F.when(low.contains("минимизац"), parts(_RISK_LINE)), F.when(low.contains("з-"), parts(_RISK_PIPES))
+        )
 
     def from_bullet(hit: Column, i: Column) -> Column:
         return _risk(
@@ -277,7 +287,7 @@ def _object_ids(lines: Column) -> Column:
     return F.array_join(F.transform(_first_of_each(tokens, "t"), lambda t: t["t"]), ", ")
 
 
-def short_form_risks(text: Column, limit: int | None = SHORT_LIMIT) -> Column:
+def short_form_risks(text: Column, limit: int | None = None) -> Column:
     """Risk blocks of a short form: a block starts at a risk heading, its
     mitigation at the first line that looks like one."""
 
@@ -320,11 +330,13 @@ def short_form_risks(text: Column, limit: int | None = SHORT_LIMIT) -> Column:
     return F.slice(named, 1, limit) if limit else named
 
 
-def with_risks(docs: DataFrame, text: str = "text", free_limit: int | None = FREE_LIMIT, short_limit: int | None = SHORT_LIMIT) -> DataFrame:
-    """``risks`` array: short-form blocks first, free text where there are none."""
+def with_risks(
+    docs: DataFrame, text: str = "text", free_limit: int | None = None, short_limit: int | None = None, window: int | None = None
+) -> DataFrame:
+    """``risks`` array: short-form blocks first, free text where there are none. None cuts nothing."""
     t = F.col(text)
     df = docs.withColumn("_short", F.when(is_short_form(t), short_form_risks(t, short_limit)))
-    chosen = F.when(F.size("_short") > 0, F.col("_short")).otherwise(free_text_risks(t, limit=free_limit))
+    chosen = F.when(F.size("_short") > 0, F.col("_short")).otherwise(free_text_risks(t, window, free_limit))
     enough = F.length(t) >= MIN_TEXT
     return df.withColumn("risks", F.when(enough, chosen).otherwise(F.array().cast(f"array<{_RISK}>"))).drop("_short")
 
@@ -359,7 +371,7 @@ def _cell_risk(c: Column) -> Column:
     return let(lines, cut)
 
 
-def table_risks(rows: DataFrame, limit: int | None = SHORT_LIMIT) -> DataFrame:
+def table_risks(rows: DataFrame, limit: int | None = None) -> DataFrame:
     """Risks out of document tables: (doc_id, table_no, row, cells).
 
     They stand between the row titled as risks and the reference section. The
@@ -491,10 +503,17 @@ def summary(number: Column, date: Column, client: Column, tax_id: Column, validi
     )
 
 
-def extract_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All fields, risks and notes of every document."""
+def extract_documents(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    free_limit: int | None = None,
+    short_limit: int | None = None,
+    window: int | None = None,
+) -> DataFrame:
+    """All fields, risks and notes of every document. The limits are those of :func:`with_risks`; None cuts nothing."""
     df = docs.withColumn(text, normal_text(F.col(text)))
-    df = with_risks(with_reference(with_header(df, text), text), text)
+    df = with_risks(with_reference(with_header(df, text), text), text, free_limit, short_limit, window)
     return df.withColumn("notes", quality_notes(F.col(text)))
 
 

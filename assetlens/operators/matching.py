@@ -274,10 +274,14 @@ def comparables(
 ) -> DataFrame:
     """Listings of the object's block whose ``value`` lies between its bounds.
 
-    A range join made an equi join: values fall in bands that grow by ``base``,
-    an object asks only for the bands its bounds touch.
+    A range join made an equi join: values fall in bands that grow by ``base``
+    on either side of zero, an object asks only for the bands its bounds touch.
     """
-    band = lambda c: F.floor(F.ln(F.greatest(c, F.lit(1e-9))) / math.log(base))
+
+    def band(c: Column) -> Column:
+        size = F.floor(F.ln(F.greatest(F.abs(c), F.lit(1.0))) / math.log(base)) + 1
+        return F.when(c < 0, -size).otherwise(size).cast("bigint")
+
     asked = objects.where(F.col(low) <= F.col(high)).withColumn(
         "_band", F.explode(F.sequence(band(F.col(low)), band(F.col(high))))
     )

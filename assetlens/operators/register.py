@@ -25,7 +25,6 @@ MARKET_FACTOR = 1.05
 # fixed values: words that mark a header row
 STRUCTURED_MARKERS = ("вид обеспечения", "описание обеспечения", "залогодатель")
 SIMPLE_MARKERS = ("условн", "наименован|описание", "стоимост")
-STRUCTURED_ROWS, SIMPLE_ROWS = 40, 20
 
 # fixed values: header patterns per layout; the first pattern a header matches
 # names its field
@@ -73,24 +72,34 @@ def header_rows(
     rows: DataFrame,
     structured_markers: Sequence[str] = STRUCTURED_MARKERS,
     simple_markers: Sequence[str] = SIMPLE_MARKERS,
+    structured_rows: int | None = None,
+    simple_rows: int | None = None,
 ) -> DataFrame:
-    """(file, sheet, layout, header_row): the first of 40 rows with all three
-    markers, else the first of 20 with the simple ones, else row 0."""
+    """(file, sheet, layout, header_row, header_cells): the first row with all
+    three markers, else the first with the simple ones, else row 0.
+
+    The row limits, if given, end the search at that row. Every sheet has a
+    result; header_cells is empty where its header row is blank or missing.
+    """
     text = _row_text(F.col("cells"))
     has_all = lambda markers: reduce(and_, [text.rlike(m) for m in markers])
-    structured, simple = has_all(structured_markers), has_all(simple_markers)
-    found = (
-        rows.where(F.col("row") < STRUCTURED_ROWS)
-        .groupBy(*KEYS)
-        .agg(
-            F.min(F.when(structured, F.col("row"))).alias("_s"),
-            F.min(F.when(simple & (F.col("row") < SIMPLE_ROWS), F.col("row"))).alias("_p"),
-        )
+    until = lambda limit: F.lit(True) if limit is None else F.col("row") < limit
+    structured = F.when(has_all(structured_markers) & until(structured_rows), F.col("row"))
+    simple = F.when(has_all(simple_markers) & until(simple_rows), F.col("row"))
+    top = F.when(F.col("row") == 0, F.col("row"))
+    found = rows.groupBy(*KEYS).agg(
+        F.min(structured).alias("_s"),
+        F.min(simple).alias("_p"),
+        F.min_by("cells", structured).alias("_s_cells"),
+        F.min_by("cells", simple).alias("_p_cells"),
+        F.min_by("cells", top).alias("_top_cells"),
     )
+    cells = F.when(F.col("_s").isNotNull(), F.col("_s_cells")).when(F.col("_p").isNotNull(), F.col("_p_cells")).otherwise(F.col("_top_cells"))
     return found.select(
         *KEYS,
         F.when(F.col("_s").isNotNull(), F.lit("structured")).otherwise(F.lit("simple")).alias("layout"),
         F.coalesce("_s", "_p", F.lit(0)).alias("header_row"),
+        F.coalesce(cells, F.array().cast("array<string>")).alias("header_cells"),
     )
 
 
@@ -120,14 +129,13 @@ def _ordinals(header: Column, rules: Sequence[tuple[str, str]], defaults: dict[s
     return out
 
 
-def column_map(rows: DataFrame, headers: DataFrame) -> DataFrame:
+def column_map(headers: DataFrame) -> DataFrame:
     """One row per (file, sheet): layout, header_row and a struct of ordinals
-    per layout (-1 = the column is missing)."""
-    header = rows.join(headers, list(KEYS)).where("row = header_row")
+    per layout (-1 = the column is missing). A blank header gives the defaults."""
     pack = lambda rules, defaults: F.struct(
-        *[c.alias(n) for n, c in _ordinals(F.col("cells"), rules, defaults).items()]
+        *[c.alias(n) for n, c in _ordinals(F.col("header_cells"), rules, defaults).items()]
     )
-    return header.select(
+    return headers.select(
         *KEYS,
         "layout",
         "header_row",
@@ -524,7 +532,7 @@ def parse_registers(rows: DataFrame) -> DataFrame:
 
     Both layouts are brought to the same fields, then named and scored once.
     """
-    data = data_rows(rows, column_map(rows, header_rows(rows)))
+    data = data_rows(rows, column_map(header_rows(rows)))
     df = _structured_fields(data).unionByName(_simple_fields(data))
     simple = F.col("layout") == "simple"
     # the simple layout is named by its classifier cell as it stands

@@ -184,25 +184,51 @@ FROM part
 
 
 def pruned_by_index(spark: SparkSession, sf: str) -> DataFrame:
-    """Only the years whose index holds one of the given keys are scanned."""
+    """Orders of the years that a search for one customer has to scan: those
+    whose index names it, and one year that has no index."""
     orders = table(spark, sf, "orders").select(
-        "o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"), F.col("o_totalprice").cast("decimal(18,2)").alias("p")
-    )
-    index = orders.select("year", "o_custkey").distinct()
-    wanted = table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    listed = index.join(wanted, "o_custkey", "left_semi")
-    return (
-        orders.join(listed, ["year", "o_custkey"], "left_semi")
-        .groupBy("year")
-        .agg(F.count("*").alias("orders"), F.sum("p").cast("double").alias("total"))
-        .select(F.col("year").cast("bigint").alias("year"), "orders", "total")
-    )
+        F.year("o_orderdate").cast("string").alias("dataset_file"), F.col("o_custkey").cast("string").alias("quarter_cad_number"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("p"),
+    )
+    index = orders.where("dataset_file <> '1995'").select("dataset_file", "quarter_cad_number").distinct()
+    files = orders.select("dataset_file").distinct()
+    kept = deals.index_prunes(files, index, "7")
+    return orders.join(kept, "dataset_file", "left_semi").groupBy("dataset_file").agg(F.count("*").alias("orders"), F.sum("p").cast("double").alias("total"))
 
 
 PRUNED_SQL = """
-SELECT CAST(year(o_orderdate) AS BIGINT) AS year, COUNT(*) AS orders,
-       CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
-FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY 1
+SELECT CAST(year(o_orderdate) AS VARCHAR) AS dataset_file, COUNT(*) AS orders, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
+FROM orders WHERE year(o_orderdate) = 1995 OR year(o_orderdate) IN (SELECT year(o_orderdate) FROM orders WHERE o_custkey = 7) GROUP BY 1
+"""
+
+
+def deal_search(spark: SparkSession, sf: str) -> DataFrame:
+    """All deals of one quarter key, kind and object type, newest and dearest
+    first, with the summary's totals; words name kind and type."""
+    li = table(spark, sf, "lineitem")
+    typed = li.select(
+        F.concat_ws(":", F.lit("77"), F.lpad((F.col("l_suppkey") % 10).cast("string"), 2, "0"), F.lit("0001005")).alias("quarter_cad_number"),
+        F.year("l_shipdate").alias("year"),
+        (F.year("l_shipdate") * 100 + F.quarter("l_shipdate")).alias("sort_key"),
+        F.when(F.col("l_linestatus") == "O", "rent").otherwise("deal").alias("kind"),
+        F.when(F.col("l_linenumber") % 2 == 0, deals.LAND).otherwise(deals.PREMISES).alias("realestate_type_code"),
+        F.when(F.col("l_linenumber") % 2 == 0, "land").otherwise("nonres").alias("category"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("deal_price"),
+        F.col("l_quantity").cast("decimal(18,2)").alias("area"),
+        F.col("l_returnflag").alias("dataset_file"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("number"),
+    )
+    rows, _, summary = deals.search(typed, "77:5:0001005", year=1996, object_types=["зу"], operation_kinds=["продажа"])
+    return rows.select(
+        "number", F.col("sort_key").cast("bigint").alias("sort_key"), F.col("deal_price").cast("double").alias("deal_price"),
+        summary.select("total").scalar().alias("total"), summary.select("truncated").scalar().alias("truncated"),
+    )
+
+
+DEAL_SEARCH_SQL = """
+SELECT l_orderkey || '-' || l_linenumber AS number, CAST(year(l_shipdate) * 100 + quarter(l_shipdate) AS BIGINT) AS sort_key,
+  CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS deal_price, COUNT(*) OVER () AS total, false AS truncated
+FROM lineitem WHERE l_suppkey % 10 = 5 AND year(l_shipdate) = 1996 AND l_linenumber % 2 = 0 AND l_linestatus <> 'O'
 """
 
 
@@ -345,12 +371,14 @@ QUERIES = {
     "code_labels": code_labels,
     "multi_code_labels": multi_code_labels,
     "pruned_by_index": pruned_by_index,
+    "deal_search": deal_search,
     "changed_rows": changed_rows,
     "normalised_keys": normalised_keys,
     "period_union": period_union,
     "counts_and_years": counts_and_years,
 }
 ORACLES = {
+    "deal_search": DEAL_SEARCH_SQL,
     "unit_price_by_category": UNIT_PRICE_SQL,
     "key_lookup_topk": KEY_LOOKUP_SQL,
     "code_labels": CODE_LABELS_SQL,

@@ -41,11 +41,11 @@ def _raw_deals(spark: SparkSession, sf: str) -> DataFrame:
     return li.select(*[own.get(c, F.lit("")).alias(c) for c in deal_files.DEAL_COLUMNS], F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("q"))
 
 
-def _write_text(df: DataFrame, path: str) -> None:
+def _write_text(df: DataFrame, path: str, delimiter: str = "~") -> None:
     # quoted, so that an empty field is "" as in the published files
     (
         df.select(*deal_files.DEAL_COLUMNS)
-        .write.option("sep", "~")
+        .write.option("sep", delimiter)
         .option("header", True)
         .option("quoteAll", True)
         .option("emptyValue", "")
@@ -248,6 +248,49 @@ def ingest_available_now(spark: SparkSession, sf: str) -> DataFrame:
 INGEST_SQL = 'SELECT l_returnflag, COUNT(*) AS "rows", CAST(SUM(l_quantity) AS DOUBLE) AS quantity FROM lineitem GROUP BY 1'
 
 
+def stream_deal_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Deal files of both delimiters as a stream into a store; a second run adds nothing."""
+    base = _run_dir(spark, "deal-stream")
+    raw = _raw_deals(spark, sf)
+    even = F.col("number").cast("bigint") % 2 == 0
+    _write_text(raw.where(even), f"{base}/in/tilde")
+    plain = raw.where(~even).select(*[F.replace(c, F.lit(";"), F.lit(",")).alias(c) for c in deal_files.DEAL_COLUMNS])
+    _write_text(plain, f"{base}/in/semicolon", ";")
+    for _ in range(2):
+        rows = ingest.stream_deals(spark, f"{base}/in/*", pattern="part-*")
+        ingest.replace_available(rows, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    price = F.col("deal_price").cast("decimal(18,2)")
+    return spark.read.parquet(f"{base}/out").groupBy("city").agg(F.count("*").alias("deals"), F.sum(price).cast("double").alias("price"))
+
+
+STREAM_DEALS_SQL = """
+SELECT l_returnflag AS city, COUNT(*) AS deals, CAST(SUM(CASE WHEN l_linenumber <> 7 THEN CAST(l_extendedprice AS DECIMAL(18,2)) END) AS DOUBLE) AS price
+FROM lineitem GROUP BY 1
+"""
+
+
+def reload_changed_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files by year in a store; two changed files are loaded again and replace their rows."""
+    path = _run_dir(spark, "reload")
+    li = table(spark, sf, "lineitem")
+    year = F.year("l_shipdate")
+    rows = li.select(
+        F.concat(F.lit("dataset_y_"), year.cast("string")).alias("dataset_file"), year.alias("y"), "l_linenumber",
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
+    )
+    deal_files.replace_files(rows.drop("y", "l_linenumber"), path)
+    again = rows.where("y IN (1994, 1996) AND l_linenumber <= 3").withColumn("price", (F.col("price") + 1).cast("decimal(18,2)"))
+    deal_files.replace_files(again.drop("y", "l_linenumber"), path)
+    return spark.read.parquet(path).groupBy("dataset_file").agg(F.count("*").alias("deals"), F.sum("price").cast("double").alias("price"))
+
+
+RELOAD_SQL = """
+SELECT 'dataset_y_' || year(l_shipdate) AS dataset_file, COUNT(*) AS deals,
+  CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2)) + CASE WHEN year(l_shipdate) IN (1994, 1996) THEN 1 ELSE 0 END) AS DOUBLE) AS price
+FROM lineitem WHERE year(l_shipdate) NOT IN (1994, 1996) OR l_linenumber <= 3 GROUP BY 1
+"""
+
+
 def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
     """Latest purchase or click per user kept by a stream, alive for five hours."""
     base = _run_dir(spark, "latest")
@@ -309,10 +352,14 @@ QUERIES = {
     "serving_table": serving_table,
     "json_sink": json_sink,
     "ingest_available_now": ingest_available_now,
+    "stream_deal_files": stream_deal_files,
+    "reload_changed_files": reload_changed_files,
     "stream_latest": stream_latest,
     "live_kpis": live_kpis,
 }
 ORACLES = {
+    "stream_deal_files": STREAM_DEALS_SQL,
+    "reload_changed_files": RELOAD_SQL,
     "text_scan": TEXT_SCAN_SQL,
     "code_mining": CODE_MINING_SQL,
     "quarter_index": QUARTER_INDEX_SQL,

@@ -107,18 +107,18 @@ def comparable_pairs(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "supplier").select(
         "s_suppkey",
         F.col("s_nationkey").alias("nation"),
-        (F.col("s_acctbal") * 0.98).alias("low"),
-        (F.col("s_acctbal") * 1.02).alias("high"),
+        F.least(F.col("s_acctbal") * 0.98, F.col("s_acctbal") * 1.02).alias("low"),
+        F.greatest(F.col("s_acctbal") * 0.98, F.col("s_acctbal") * 1.02).alias("high"),
     )
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("value"))
-    return matching.comparables(s.where("low > 0"), c.where("value > 0"), ["nation"], "low", "high", "value").select(
+    return matching.comparables(s, c, ["nation"], "low", "high", "value").select(
         "s_suppkey", "c_custkey", "value"
     )
 
 
 COMPARABLE_PAIRS_SQL = """
 SELECT s_suppkey, c_custkey, c_acctbal AS value FROM supplier JOIN customer ON s_nationkey = c_nationkey
-WHERE s_acctbal > 0 AND c_acctbal > 0 AND c_acctbal BETWEEN s_acctbal * 0.98 AND s_acctbal * 1.02
+WHERE c_acctbal BETWEEN least(s_acctbal * 0.98, s_acctbal * 1.02) AND greatest(s_acctbal * 0.98, s_acctbal * 1.02)
 """
 
 
@@ -181,21 +181,15 @@ WHERE token IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders)
 
 
 def token_relevance(spark: SparkSession, sf: str) -> DataFrame:
-    """Best ten benchmark items per document by distinct shared words of 4+ letters.
+    """Benchmark items per document by distinct shared words of 4+ letters.
 
     Words that stand in a document are joined by word, so only pairs sharing
-    one are formed; every document keeps ten rows per map task at most.
+    one are formed, and all of those are returned.
     """
-    from pyspark.sql import Window as W
-
     words = lambda c: F.array_distinct(addr.word_tokens(c, min_len=4))
     d = spread(table(spark, sf, "documents")).select("doc_id", F.explode(words(F.col("text"))).alias("w"))
     b = table(spark, sf, "benchmark").select("item_id", F.explode(words(F.col("text"))).alias("w"))
-    shared = d.join(b, "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
-    best = W.partitionBy("doc_id").orderBy(F.desc("shared"), "item_id")
-    return (
-        shared.withColumn("rank", F.row_number().over(best)).where("rank <= 10").select("doc_id", "item_id", "shared")
-    )
+    return d.join(b, "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
 TOKEN_RELEVANCE_SQL = r"""
@@ -203,7 +197,6 @@ WITH d AS (SELECT DISTINCT doc_id, UNNEST(regexp_extract_all(lower(text), '[\p{L
 b AS (SELECT DISTINCT item_id, UNNEST(regexp_extract_all(lower(text), '[\p{L}\p{N}]{4,}')) AS w FROM benchmark),
 s AS (SELECT doc_id, item_id, COUNT(*) AS shared FROM d JOIN b USING (w) GROUP BY 1, 2)
 SELECT doc_id, item_id, shared FROM s
-QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, item_id) <= 10
 """
 
 _LINK = '<li><a href="([^"]+)">(.*?)</a></li>'

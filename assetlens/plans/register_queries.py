@@ -74,7 +74,7 @@ def row_status(spark: SparkSession, sf: str) -> DataFrame:
     c = {
         "cost": F.when(n > 500, n.cast("double")).otherwise(F.lit(0.0)),
         "collateral_cell": F.when(n > 200, n.cast("double")).otherwise(F.lit(0.0)),
-        "raw_name": F.substring("text", 1, 10_000_000),
+        "raw_name": F.col("text"),
         "name": F.col("source"),
         "conditional": F.concat(F.lit("Doc_"), F.col("doc_id").cast("string")),
         "identifier": F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(F.lit("")),
@@ -117,9 +117,8 @@ def header_columns(spark: SparkSession, sf: str) -> DataFrame:
     """Header row of every conversation and the ordinals of its columns."""
     rows = _conversation_rows(spark, sf)
     headers = register.header_rows(rows, *_MARKERS)
-    header = rows.join(headers, ["file", "sheet"]).where("row = header_row")
-    ordinals = register._ordinals(F.col("cells"), _COLUMNS, {"second": 7})
-    return header.select(
+    ordinals = register._ordinals(F.col("header_cells"), _COLUMNS, {"second": 7})
+    return headers.select(
         F.col("file").cast("bigint").alias("conv_id"),
         "layout",
         F.col("header_row").cast("bigint").alias("header_row"),
@@ -130,8 +129,8 @@ def header_columns(spark: SparkSession, sf: str) -> DataFrame:
 HEADER_SQL = r"""
 WITH r AS (SELECT conv_id, turn, string_split(text, ' ') AS cells, lower(text) AS t FROM conversations),
 h AS (SELECT conv_id,
-   MIN(turn) FILTER (turn < 40 AND contains(t, 'the') AND contains(t, 'and') AND contains(t, 'of')) AS s,
-   MIN(turn) FILTER (turn < 20 AND contains(t, 'de') AND regexp_matches(t, 'la|le') AND contains(t, 'en')) AS p FROM r GROUP BY 1),
+   MIN(turn) FILTER (contains(t, 'the') AND contains(t, 'and') AND contains(t, 'of')) AS s,
+   MIN(turn) FILTER (contains(t, 'de') AND regexp_matches(t, 'la|le') AND contains(t, 'en')) AS p FROM r GROUP BY 1),
 k AS (SELECT conv_id, CASE WHEN s IS NOT NULL THEN 'structured' ELSE 'simple' END AS layout, COALESCE(s, p, 0) AS header_row FROM h),
 c AS (SELECT k.*, list_transform(cells, lambda x: CASE WHEN trim(lower(x)) = 'the' THEN 'first'
      WHEN regexp_matches(lower(x), 'and|of') THEN 'second' WHEN contains(lower(x), 'on') THEN 'name'

@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import tune
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A plain scan over at least as many tasks as there are cores.
+    """A scan that row-heavy parsing follows, dealt over ``spark.assetlens.scanTasks`` tasks where the session sets that.
 
-    For row-heavy parsing on top of a scan. A small table in one row group would
-    keep one core busy; a large one has more splits than cores and is returned
-    as it is, without a shuffle.
+    A laptop sets it, as a small table in one row group would keep one core
+    busy. It is unset on a cluster, where scans stay as the splits make them.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    tasks = scan.sparkSession.conf.get("spark.assetlens.scanTasks", None)
+    return scan.repartition(int(tasks)) if tasks else scan

@@ -35,6 +35,8 @@ def local_session(cores: int | str = 8, app: str = "assetlens", shuffle_partitio
         .config("spark.driver.memory", os.environ.get("ASSETLENS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        # small tables come in one row group; see plans.tables.spread
+        .config("spark.assetlens.scanTasks", os.environ.get("ASSETLENS_SCAN_TASKS", str(cores) if str(cores).isdigit() else "8"))
         # small local stages keep all cores busy instead of one
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         # no Python call site per column expression: it doubles planning time

@@ -114,34 +114,25 @@ def _gate(files: DataFrame) -> DataFrame:
 gate_files = _gate
 
 
-def header_delimiters(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
-    """Delimiter per file: ``;`` when the header has more of them than ``~``.
+#: One text column: the separator never occurs. The CSV reader is used as it
+#: drops the header of every file and blank lines, gz or plain, and still splits
+#: large plain files.
+LINE_OPTIONS = {"sep": "\u0001", "quote": "", "header": "true", "enforceSchema": "true"}
 
-    Reads one line per file (the job stops there), so the cost grows with the
-    number of files in the catalogue, not with their size.
+
+def split_fields(line: Column, delimiter: str | None = None) -> Column:
+    """Fields of a line, split at ``delimiter`` or at the mark that gives it all its fields.
+
+    That is ``~`` if the line has enough of them, else ``;`` if it has; a line
+    too short under both is split at the more frequent one. So no file has to be
+    opened for its header first, in a batch or in a stream.
     """
-    out = {}
-    for path in paths:
-        head = spark.read.text(path).where(F.trim("value") != "").head(1)
-        line = head[0][0] if head else ""
-        out[path] = ";" if line.count(";") > line.count("~") else "~"
-    return out
-
-
-def _lines(spark: SparkSession, paths: Sequence[str], delimiter: str) -> DataFrame:
-    # One text column: the separator never occurs. The CSV reader is used as it
-    # drops the header of every file and blank lines, gz or plain, and still
-    # splits large plain files.
-    return (
-        spark.read.schema("line string")
-        .option("sep", "\u0001")
-        .option("quote", "")
-        .option("header", True)
-        .option("enforceSchema", True)
-        .csv(list(paths))
-        .select("line", F.col("_metadata.file_name").alias("file_name"))
-        .withColumn("fields", F.split("line", delimiter, -1))
-    )
+    if delimiter:
+        return F.split(line, delimiter, -1)
+    tildes, semicolons = (F.length(line) - F.length(F.replace(line, F.lit(m), F.lit(""))) for m in "~;")
+    enough = len(DEAL_COLUMNS) - 1
+    by_semicolon = (tildes < enough) & ((semicolons >= enough) | (semicolons > tildes))
+    return F.when(by_semicolon, F.split(line, ";", -1)).otherwise(F.split(line, "~", -1))
 
 
 def _unquoted(fields: Column, i: int) -> Column:
@@ -150,16 +141,13 @@ def _unquoted(fields: Column, i: int) -> Column:
 
 
 def scan_lines(spark: SparkSession, paths: Sequence[str], delimiter: str | None = None) -> DataFrame:
-    """Data lines of deal files with ``fields`` split at the file's delimiter.
+    """Data lines of deal files with ``fields``, all files in one scan.
 
     The split is naive: quotes do not protect the delimiter.
     """
-    known = {p: delimiter for p in paths} if delimiter else header_delimiters(spark, paths)
-    out = None
-    for mark in sorted(set(known.values())):
-        part = _lines(spark, [p for p in paths if known[p] == mark], mark)
-        out = part if out is None else out.unionByName(part)
-    return out
+    lines = spark.read.schema("line string").options(**LINE_OPTIONS).csv(list(paths))
+    lines = lines.select("line", F.col("_metadata.file_name").alias("file_name"))
+    return lines.withColumn("fields", split_fields(F.col("line"), delimiter))
 
 
 def scan_deals(
@@ -213,6 +201,16 @@ def write_serving_table(deals: DataFrame, path: str, partitions: int | None = No
     ranged.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("year").parquet(path)
 
 
+def replace_files(deals: DataFrame, path: str) -> None:
+    """Rows of whole files into a store with one partition per ``dataset_file``.
+
+    A file that is there already is replaced, so loading a changed file again
+    leaves none of its old rows, and a repeated or restarted load doubles none.
+    Other files stay as they are.
+    """
+    deals.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_file").parquet(path)
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     """One JSON document per row."""
     df.write.mode("overwrite").json(path)

@@ -32,7 +32,9 @@ def fill_merged(cells: DataFrame, merged: DataFrame) -> DataFrame:
         .where(~is_blank(F.col("_fill")))
         .withColumn("row", F.explode(F.sequence("r0", F.greatest("r0", F.least("r1", "_last")))))
         .withColumn("col", F.explode(F.sequence("c0", "c1")))
-        .select(*KEYS, "row", "col", "_fill")
+        # where rectangles overlap, the first by its corner fills the cell
+        .groupBy(*KEYS, "row", "col")
+        .agg(F.min_by("_fill", F.struct("r0", "c0")).alias("_fill"))
     )
     joined = cells.join(inside, [*KEYS, "row", "col"], "full_outer")
     return joined.select(

@@ -11,21 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.deal_files import DEAL_COLUMNS, _unquoted, dataset_columns
+from ..sources.deal_files import DEAL_COLUMNS, LINE_OPTIONS, _unquoted, dataset_columns, replace_files, split_fields
 
 
-def stream_deals(spark: SparkSession, folder: str, delimiter: str = "~", pattern: str = "dataset_*", max_files: int = 100) -> DataFrame:
-    """Deal rows of files as they land; same columns as the batch scan."""
+def stream_deals(spark: SparkSession, folder: str, delimiter: str | None = None, pattern: str = "dataset_*", max_files: int = 100) -> DataFrame:
+    """Deal rows of files as they land; same columns and same delimiter rule as the batch scan."""
     lines = (
         spark.readStream.schema("line string")
-        .option("sep", "\u0001")
-        .option("quote", "")
-        .option("header", True)
+        .options(**LINE_OPTIONS)
         .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", max_files)
         .csv(folder)
         .select("line", F.col("_metadata.file_name").alias("file_name"))
-        .withColumn("fields", F.split("line", delimiter, -1))
+        .withColumn("fields", split_fields(F.col("line"), delimiter))
     )
     fields = F.col("fields")
     return lines.where(F.size("fields") >= len(DEAL_COLUMNS)).select(
@@ -34,6 +32,18 @@ def stream_deals(spark: SparkSession, folder: str, delimiter: str = "~", pattern
     )
 
 
+def replace_available(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Load the files that are there now into a store of :func:`replace_files`, then stop.
+
+    A batch that runs again after a failure replaces what it had written.
+    """
+
+    def load(batch: DataFrame, _: int) -> None:
+        replace_files(batch, path)
+
+    return df.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def append_available(df: DataFrame, path: str, checkpoint: str, partition_by: tuple[str, ...] = ()) -> StreamingQuery:
     """Load everything that is there now to Parquet, then stop."""
     writer = df.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", path)

@@ -75,8 +75,16 @@ def test_bullets_notes_and_encoding(out):
 def test_caps_are_parameters(spark):
     text = "Таблица рисков\n" + "\n".join(f"З-{i} - Риск {i} тут. Минимизация: мера {i}" for i in range(1, 31))
     df = spark.createDataFrame([(text,)], "text string")
-    assert df.select(F.size(d.free_text_risks(F.col("text")))).first()[0] == 20
-    assert df.select(F.size(d.free_text_risks(F.col("text"), window=None, limit=None))).first()[0] == 30
+    assert df.select(F.size(d.free_text_risks(F.col("text")))).first()[0] == 30
+    assert df.select(F.size(d.free_text_risks(F.col("text"), limit=d.REPORT_FREE_LIMIT))).first()[0] == 20
+
+
+def test_far_and_many_risks_reach_the_documents_table(spark):
+    far = "Таблица рисков\n" + "x " * 4000 + "\n" + "\n".join(f"З-{i} - Риск {i} тут. Минимизация: мера {i}" for i in range(1, 61))
+    got = d.extract_documents(spark.createDataFrame([(1, far)], "doc_id int, text string"))
+    assert got.select(F.size("risks")).first()[0] == 60
+    cut = d.extract_documents(spark.createDataFrame([(1, far)], "doc_id int, text string"), window=d.REPORT_WINDOW)
+    assert cut.select(F.size("risks")).first()[0] == 0
 
 
 def test_clients(values):

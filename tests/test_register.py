@@ -81,12 +81,19 @@ def test_header_rows_and_defaults(spark):
     rows = grids.rows_of(cells_of(spark, a=STRUCTURED, b=SIMPLE, c=[["x", "y"], ["1", "2"]]))
     got = {(h.file): (h.layout, h.header_row) for h in r.header_rows(rows).collect()}
     assert got == {"a": ("structured", 1), "b": ("simple", 0), "c": ("simple", 0)}
-    maps = {c.file: c for c in r.column_map(rows, r.header_rows(rows)).collect()}
+    maps = {c.file: c for c in r.column_map(r.header_rows(rows)).collect()}
     assert maps["a"].s.cost == 3 and maps["a"].s.liquidity == 5 and maps["a"].s.location == -1
     assert (maps["b"].p.note, maps["b"].p.cost, maps["b"].p.quality) == (4, 5, 10)
     assert maps["c"].p.name == 2
 
 
+def test_blank_first_row_keeps_the_sheet(spark):
+    rows = spark.createDataFrame([("f", "S", 1, ["M1", "", "Гараж", "x"]), ("f", "S", 90, ["M2", "", "Склад", "y"])], "file string, sheet string, row int, cells array<string>")
+    headers = r.header_rows(rows)
+    assert [tuple(h) for h in headers.collect()] == [("f", "S", "simple", 0, [])]
+    assert r.data_rows(rows, r.column_map(headers)).count() == 2
+
+
 def test_statuses(values):
     assert values(r.status_of(X), [45, 44, 20, 19], "int") == ["accepted", "suspicious", "suspicious", "skipped"]
     assert values(r.status_of(X, F.lit(True)), [90], "int") == ["skipped"]
