@@ -37,7 +37,7 @@ def object_terms(objects: DataFrame, key: str = "object_key", address: str = "ob
     """What relevance looks for, worked out once per object: written variants
     of the key, city, street words, house number."""
     a = F.col(address)
-    once = objects.groupBy(key).agg(F.first(address, ignorenulls=True).alias(address))
+    once = objects.groupBy(key).agg(F.min(address).alias(address))
     return once.select(
         key,
         F.transform(key_variants(F.coalesce(F.col(key), F.lit(""))), F.lower).alias("_variants"),
@@ -226,8 +226,9 @@ def mentions(docs: DataFrame, doc_id: str, text: str, objects: DataFrame, key: s
 
     Not every text against every key: both sides meet on the variant's last two
     numbers. A text number may go on left of the first or right of the second,
-    so each neighbouring pair offers all its endings x beginnings; the substring
-    test then runs on the few pairs that met.
+    so each neighbouring pair offers its endings x beginnings, none longer than
+    the longest among the keys: a run of many digits offers no more than a short
+    one. The substring test then runs on the few pairs that met.
     """
     keys = objects.select(F.col(key).alias("key")).distinct()
     tails = keys.select(
@@ -237,12 +238,14 @@ def mentions(docs: DataFrame, doc_id: str, text: str, objects: DataFrame, key: s
         F.regexp_extract_all(F.col(text), F.lit("(?<![0-9])(?=([0-9]+[: -][0-9]+))"), F.lit(1))
     )
     found = docs.select(F.col(doc_id).alias("doc_id"), F.explode(pairs).alias("pair"))
-    left, mark, right = (F.regexp_extract("pair", "^([0-9]+)([: -])([0-9]+)$", g) for g in (1, 2, 3))
+    numbers = "^([0-9]+)([: -])([0-9]+)$"
+    longest = lambda g: tails.agg(F.max(F.length(F.regexp_extract("tail", numbers, g)))).scalar()
+    left, mark, right = (F.regexp_extract("pair", numbers, g) for g in (1, 2, 3))
     found = found.select(
-        "doc_id", left.alias("l"), mark.alias("m"), right.alias("r")
-    ).withColumn("l", F.explode(F.transform(F.sequence(F.lit(1), F.length("l")), lambda i: F.substring("l", i, F.length("l")))))
+        "doc_id", left.alias("l"), mark.alias("m"), right.alias("r"), longest(1).alias("_l"), longest(3).alias("_r")
+    ).withColumn("l", F.explode(F.transform(F.sequence(F.greatest(F.lit(1), F.length("l") - F.col("_l") + 1), F.length("l")), lambda i: F.substring("l", i, F.length("l")))))
     found = found.withColumn(
-        "r", F.explode(F.transform(F.sequence(F.lit(1), F.length("r")), lambda i: F.substring("r", F.lit(1), i)))
+        "r", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("r"), F.col("_r"))), lambda i: F.substring("r", F.lit(1), i)))
     )
     met = (
         found.select("doc_id", F.concat("l", "m", "r").alias("tail"))

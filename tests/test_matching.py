@@ -185,3 +185,9 @@ def test_outbound_link(values):
     labelled = '<b>Ссылка на объявление</b> <a href="https://x.example/1">'
     listed = '<a href="https://other.example"><a href="https://www.cian.ru/2">'
     assert values(html.outbound_link(F.col("x")), [labelled, listed, "<a>"]) == ["https://x.example/1", "https://www.cian.ru/2", None]
+
+
+def test_a_long_run_of_digits_offers_no_more_than_a_short_one(spark):
+    docs = spark.createDataFrame([(1, "7" * 100_000 + ":" + "8" * 100_000), (2, "77:01:0001005:12 here")], "doc_id int, text string")
+    keys = spark.createDataFrame([("77:01:0001005:12",)], "key string")
+    assert [tuple(r) for r in m.mentions(docs, "doc_id", "text", keys, "key").collect()] == [(2, "77:01:0001005:12")]
