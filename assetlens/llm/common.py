@@ -36,8 +36,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch, where the session leaves Spark's default of 10,000: that many long
+#: texts, in the executor and in its Python worker at once, are more than a small executor has.
+BATCH_ROWS, BATCH_CONF = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(df: DataFrame) -> DataFrame:
-    """``df`` unchanged; Python workers that start from now on also look for modules where the driver found this package."""
+    """``df`` unchanged, about to go through Python workers.
+
+    Workers that start from now on also look for modules where the driver found
+    this package, and batches get ``BATCH_ROWS`` rows unless the session says otherwise.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF) == "10000":
+        conf.set(BATCH_CONF, str(BATCH_ROWS))
     env = df.sparkSession.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if PACKAGE_ROOT not in paths:

@@ -162,9 +162,11 @@ def calibration(margin: np.ndarray, y: np.ndarray, share_of_ones: float) -> tupl
 
 def _fit(share_of_ones: float):
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("id", "ascending")])
-        x = np.stack([np.frombuffer(v, dtype=np.float32) for v in rows["x"].to_pylist()])
-        y, aside = rows["label"].to_numpy(), rows["aside"].to_numpy()
+        order = np.argsort(rows["id"].to_numpy(), kind="stable")
+        x = np.empty((len(order), KINDS * BUCKETS), dtype=np.float32)
+        for to, at in enumerate(order.tolist()):
+            x[to] = np.frombuffer(rows["x"][at].as_buffer(), dtype=np.float32)
+        y, aside = rows["label"].to_numpy()[order], rows["aside"].to_numpy()[order]
         out = (None, 0.0, 1.0, 0.0)
         if {0, 1} <= set(y[~aside].tolist()):
             w, b = regression(x[~aside], y[~aside])
