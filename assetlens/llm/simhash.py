@@ -25,11 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_texts, saved, table, texts_of
+from .common import map_texts, saved, ship, table, texts_of
 from .components import components
 
 BITS, SHINGLE, SEED = 64, 3, 42
 RADIUS, SEGMENTS = 2, 2
+WIDE, RESEMBLANCE, SKETCH = 5, 0.8, 8  # words of a shingle, Jaccard similarity and keys of resembling texts
 CHUNK = 1 << 16  # shingles counted at a time
 
 
@@ -129,6 +130,11 @@ def first_of_each(docs: DataFrame, radius: int = RADIUS, segments: int = SEGMENT
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
     firsts = prints.groupBy("fp").agg(F.min(order).alias("first"))
     kept = firsts.join(rooted, F.col("fp") == F.col("its_fp")).groupBy("root").agg(F.min("first").alias("first"))
+    return _only(docs, kept)
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are a ``first`` in ``kept``, each once."""
     kept = kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
     mine = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), _text_hash().alias("text_hash"))
     chosen = mine.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash")), "left_semi")
@@ -136,6 +142,115 @@ def first_of_each(docs: DataFrame, radius: int = RADIUS, segments: int = SEGMENT
     return chosen.withColumn("turn", turn).where("turn = 1").select("row.*")
 
 
+def _sketch(text: str | None) -> tuple[int, int, list[int], bytes]:
+    """(hash of the words, number of shingles, keys, shingles): distinct five-word shingles as sorted 64-bit hashes; the smallest few are keys.
+
+    A text of one to four words has one shingle, all of it; one without a word none.
+    """
+    words = (text or "").encode("utf-8").lower().split()
+    digest = xxhash.xxh64_intdigest
+    whole = digest(b" ".join(words), SEED)
+    if not words:
+        return whole, 0, [], b""
+    if len(words) < WIDE:
+        found = np.array([whole], dtype="<u8")
+    else:
+        runs = zip(*(itertools.islice(words, k, None) for k in range(WIDE)), strict=False)
+        found = np.unique(np.fromiter((digest(b" ".join(r), SEED) for r in runs), dtype="<u8"))
+    return whole, len(found), found[:SKETCH].view("<i8").tolist(), found.tobytes()
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [_sketch(t)[:3] for t in texts_of(batch)]
+        same = pa.array(np.array([r[0] for r in rows], dtype=np.uint64).view(np.int64))
+        ids = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text_hash")]
+        yield pa.RecordBatch.from_arrays([*ids, same, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["doc_id", "text_hash", "same", "n", "keys"])
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [_sketch(t) for t in texts_of(batch)]
+        same = pa.array(np.array([r[0] for r in rows], dtype=np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([same, pa.array([r[3] for r in rows], pa.binary())], ["same", "shingles"])
+
+
+def _resembling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8")
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= RESEMBLANCE * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _read(texts: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(same, shingles) of the different texts in ``pairs`` (a, b), each read at its first row."""
+    met = pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct()
+    at = firsts.join(met, "same", "left_semi").select("first.*")
+    at = at.select(F.col("doc_id").alias("at_id"), F.col("text_hash").alias("at_hash"))
+    mine = texts.join(at, (F.col("text_hash") == F.col("at_hash")) & F.col("doc_id").eqNullSafe(F.col("at_id")), "left_semi")
+    return saved(map_texts(mine.select("text"), _shingled, "same long, shingles binary").dropDuplicates(["same"]), "shingles")
+
+
+def _resemble(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingles have a Jaccard similarity of ``RESEMBLANCE`` at least."""
+    left = shingles.select(F.col("same").alias("a"), F.col("shingles").alias("sa"))
+    right = shingles.select(F.col("same").alias("b"), F.col("shingles").alias("sb"))
+    return ship(pairs.join(left, "a").join(right, "b")).mapInArrow(_resembling, "a long, b long")
+
+
+def resembling_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, same, component) of every row: texts linked by five-word shingles, Jaccard ``RESEMBLANCE`` or more, checked exactly.
+
+    Equal texts (but for ASCII case and white space) are one before any comparison.
+    Two sets that resemble by 0.8 share one of their ``SKETCH`` smallest hashes but
+    for a chance of 0.2 ** SKETCH. In the table of these keys a text is first
+    compared with the first and the previous of its key, then, where a key still
+    has several groups, with all of the others.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
+    rows = saved(map_texts(texts, _sketches, "doc_id long, text_hash long, same long, n long, keys array<bigint>"), "sketches")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
+    firsts = saved(rows.groupBy("same").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")), "different-texts")
+    keyed = firsts.select("same", "n", F.explode("keys").alias("key"))
+    by_key = W.partitionBy("key").orderBy("same")
+    near = keyed.select("same", "n", "key", F.lag(F.struct("same", "n")).over(by_key).alias("before"), F.lead("same").over(by_key).alias("after"), F.first(F.struct("same", "n")).over(by_key.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("head"))
+    near = saved(near.where("before IS NOT NULL OR after IS NOT NULL"), "shared-shingles")
+
+    def sizes(n: Column, m: Column) -> Column:
+        return F.least(n, m) >= RESEMBLANCE * F.greatest(n, m)
+
+    some = near.select("same", "n", F.explode(F.array("before", "head")).alias("o")).where((F.col("same") != F.col("o.same")) & sizes(F.col("n"), F.col("o.n")))
+    some = saved(some.select(F.least("same", "o.same").alias("a"), F.greatest("same", "o.same").alias("b")).distinct(), "near-texts")
+    groups = components(saved(_resemble(some, _read(texts, firsts, some)), "text-links"))
+    placed = near.join(groups, F.col("same") == F.col("node"), "left").select("key", "same", "n", F.coalesce("component", "same").alias("group"))
+    placed = saved(placed, "placed-texts")
+    apart = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
+    rest = placed.join(apart, "key")
+    mate = rest.select(F.col("key").alias("key2"), F.col("same").alias("other"), F.col("n").alias("m"), F.col("group").alias("group2"))
+    pairs = rest.join(mate, (F.col("key") == F.col("key2")) & (F.col("group") < F.col("group2")) & sizes(F.col("n"), F.col("m")))
+    pairs = pairs.select(F.least("same", "other").alias("a"), F.greatest("same", "other").alias("b")).distinct()
+    pairs = saved(pairs.join(some, ["a", "b"], "left_anti"), "texts-apart")
+    more = _resemble(pairs, _read(texts, firsts, pairs))
+    own = placed.select("same", "group").distinct()
+    joined = more.join(own, F.col("a") == F.col("same")).select("b", F.col("group").alias("ga")).join(own, F.col("b") == F.col("same")).select("ga", "group")
+    merged = components(joined)
+    whole = own.join(merged, F.col("group") == F.col("node"), "left").select(F.col("same").alias("its"), F.coalesce("component", "group").alias("component"))
+    named = firsts.select("same").join(whole, F.col("same") == F.col("its"), "left").select(F.col("same").alias("of"), F.coalesce("component", "same").alias("component"))
+    return rows.select("doc_id", "text_hash", "same").join(named, F.col("same") == F.col("of")).select("doc_id", "text_hash", "same", "component")
+
+
+def first_resembling(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns, one row of each of the ``resembling_groups``, as in ``first_of_each``."""
+    found = saved(resembling_groups(docs), "resembling")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
+    # per text first: copies meet in no task
+    kept = found.groupBy("same", "component").agg(F.min(order).alias("first")).groupBy("component").agg(F.min("first").alias("first"))
+    return _only(docs, kept)
+
+
 def hex_of(fp: Column) -> Column:
     """A fingerprint as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
