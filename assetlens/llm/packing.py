@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD_GAP, lower_ascii, saved, ship, table
+from .simhash import resembling_groups
 
 CAPACITY = 2048  # words of a window
 SHARD = 4096  # rows that are packed together
@@ -134,9 +135,18 @@ def packed_texts(docs: DataFrame, capacity: int = CAPACITY, separator: str = "\n
     return bins.select("bin_id", "n_words", F.array_join("parts.part", separator).alias("text"))
 
 
+def clustered(docs: DataFrame) -> DataFrame:
+    """``docs`` with the near-duplicate component of every row as its cluster."""
+    # rows without a word resemble nothing; they share a cluster, as equal texts do
+    found = resembling_groups(docs).select(F.col("doc_id").alias("its_id"), F.col("text_hash").alias("its_hash"), F.col("component").alias("cluster")).dropDuplicates(["its_id", "its_hash"])
+    rows = docs.select("doc_id", "text", "source", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("its_text"))
+    met = rows.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("its_id")) & (F.col("its_text") == F.col("its_hash")), "left")
+    return met.select("doc_id", "text", "source", "cluster")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Window, slot and span of every piece of every document."""
-    return pack(table(spark, sf_dir, "documents"))
+    """Window, slot and span of every piece of every document; near copies never share a window."""
+    return pack(clustered(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {"op5_packing": op5_packing}

@@ -99,3 +99,14 @@ def test_texts_of_windows(spark):
     df = spark.createDataFrame([(1, "a b c d e", "s"), (2, "f g", "t")], "doc_id long, text string, source string")
     got = sorted((r.n_words, r.text) for r in packing.packed_texts(df, capacity=3, separator="|").collect())
     assert got == [(2, "d e"), (2, "f g"), (3, "a b c")] or sum(len(t.replace("|", " ").split()) for _, t in got) == 7
+
+
+def test_edited_copies_of_other_sources_never_share_a_window(spark, tmp_path):
+    words = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(6):  # a chain of copies with a word or two changed, each of its own source
+        rows.append((k, " ".join([*words[:70], f"x{k}", *words[71:]]), f"s{k}"))
+    rows.append((9, " ".join(f"other{i}" for i in range(150)), "s9"))
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    bins = {p.doc_id: p.bin_id for p in packing.op5_packing(spark, str(tmp_path)).collect()}
+    assert len({bins[k] for k in range(6)}) == 6 and bins[9] in {bins[k] for k in range(6)}
