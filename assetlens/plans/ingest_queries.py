@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import deals, workload
 from ..session import shared_dir
-from ..sources import codes, deal_files
+from ..sources import codes, deal_files, key_filters, snapshots
 from ..streaming import ingest, latest, live
 from .tables import spread, table
 
@@ -291,6 +291,69 @@ FROM lineitem WHERE year(l_shipdate) NOT IN (1994, 1996) OR l_linenumber <= 3 GR
 """
 
 
+def _year_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as rows of files by year, with the path of each."""
+    li = table(spark, sf, "lineitem")
+    path = F.concat(F.lit("file:/landing/dataset_y_"), F.year("l_shipdate").cast("string"), F.lit(".csv"))
+    return li.select(
+        path.alias("path"), F.year("l_shipdate").alias("y"), "l_linenumber", F.col("l_suppkey").cast("string").alias("quarter_cad_number"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
+    )
+
+
+def _listing(rows: DataFrame, time: str) -> DataFrame:
+    return rows.select("path").distinct().select("path", F.length("path").cast("bigint").alias("length"), F.lit(time).cast("timestamp").alias("modificationTime"))
+
+
+def store_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """A store over four loads: all years; 1994 shrunk and 1996 empty; 1995 also as .gz, which changes nothing;
+    1997 taken out. Each version as its readers see it."""
+    root = _run_dir(spark, "store")
+    rows = _year_files(spark, sf)
+    columns = ["path", "quarter_cad_number", "price"]
+    snapshots.load(rows.select(columns), _listing(rows, "2026-01-01"), root)
+    again = rows.where("y IN (1994, 1996)")
+    snapshots.load(again.where("y = 1994 AND l_linenumber <= 3").select(columns), _listing(again, "2026-01-02"), root)
+    packed = rows.where("y = 1995").withColumn("path", F.concat("path", F.lit(".gz")))
+    snapshots.load(packed.select(columns), _listing(packed, "2026-01-03"), root)
+    snapshots.remove(rows.where("y = 1997").select("path").distinct(), root)
+    snapshots.vacuum(spark, root, keep=4)
+    seen = [snapshots.snapshot(spark, root, v).withColumn("version", F.lit(v)) for v in (1, 2, 3, 4)]
+    whole = seen[0].unionByName(seen[1]).unionByName(seen[2]).unionByName(seen[3])
+    return whole.groupBy("version", "dataset_file").agg(F.count("*").alias("deals"), F.sum("price").cast("double").alias("price"))
+
+
+STORE_VERSIONS_SQL = """
+WITH r AS (SELECT year(l_shipdate) AS y, l_linenumber AS n, CAST(l_extendedprice AS DECIMAL(18,2)) AS price FROM lineitem),
+v AS (SELECT 1 AS version, y, price FROM r
+  UNION ALL SELECT v, y, price FROM r CROSS JOIN (VALUES (2), (3), (4)) t(v) WHERE y <> 1996 AND (y <> 1994 OR n <= 3) AND (y <> 1997 OR v < 4))
+SELECT version, 'dataset_y_' || y || '.csv' AS dataset_file, COUNT(*) AS deals, CAST(SUM(price) AS DOUBLE) AS price FROM v GROUP BY 1, 2
+"""
+
+
+def key_search_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A key searched in a store whose files have key filters, but for the last one, which was loaded after them."""
+    root = _run_dir(spark, "filtered")
+    rows = _year_files(spark, sf).withColumn("quarter_cad_number", F.concat("quarter_cad_number", F.lit(":"), (F.col("y") % 3).cast("string")))
+    columns = ["path", "quarter_cad_number", "price"]
+    early = rows.where("y < 1998")
+    snapshots.load(early.select(columns), _listing(early, "2026-01-01"), root)
+    key_filters.extend(spark, root, "quarter_cad_number")
+    late = rows.where("y >= 1998")
+    snapshots.load(late.select(columns), _listing(late, "2026-01-02"), root)
+    found = [key_filters.search(spark, root, "quarter_cad_number", k) for k in ("7:0", "7:1", "none")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).groupBy("quarter_cad_number", "dataset_file").agg(
+        F.count("*").alias("deals"), F.max("price").cast("double").alias("dearest")
+    )
+
+
+KEY_SEARCH_SQL = """
+SELECT l_suppkey || ':' || (year(l_shipdate) % 3) AS quarter_cad_number, 'dataset_y_' || year(l_shipdate) || '.csv' AS dataset_file, COUNT(*) AS deals,
+  CAST(MAX(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS dearest
+FROM lineitem WHERE l_suppkey = 7 AND year(l_shipdate) % 3 IN (0, 1) GROUP BY 1, 2
+"""
+
+
 def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
     """Latest purchase or click per user kept by a stream, alive for five hours."""
     base = _run_dir(spark, "latest")
@@ -354,12 +417,16 @@ QUERIES = {
     "ingest_available_now": ingest_available_now,
     "stream_deal_files": stream_deal_files,
     "reload_changed_files": reload_changed_files,
+    "store_versions": store_versions,
+    "key_search_files": key_search_files,
     "stream_latest": stream_latest,
     "live_kpis": live_kpis,
 }
 ORACLES = {
     "stream_deal_files": STREAM_DEALS_SQL,
     "reload_changed_files": RELOAD_SQL,
+    "store_versions": STORE_VERSIONS_SQL,
+    "key_search_files": KEY_SEARCH_SQL,
     "text_scan": TEXT_SCAN_SQL,
     "code_mining": CODE_MINING_SQL,
     "quarter_index": QUARTER_INDEX_SQL,

@@ -146,14 +146,14 @@ def scan_lines(spark: SparkSession, paths: Sequence[str], delimiter: str | None
     The split is naive: quotes do not protect the delimiter.
     """
     lines = spark.read.schema("line string").options(**LINE_OPTIONS).csv(list(paths))
-    lines = lines.select("line", F.col("_metadata.file_name").alias("file_name"))
+    lines = lines.select("line", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("path"))
     return lines.withColumn("fields", split_fields(F.col("line"), delimiter))
 
 
 def scan_deals(
-    spark: SparkSession, paths: Sequence[str], delimiter: str | None = None, partitions: int | None = None
+    spark: SparkSession, paths: Sequence[str], delimiter: str | None = None, partitions: int | None = None, with_path: bool = False
 ) -> DataFrame:
-    """The 17 text columns plus what the file name says.
+    """The 17 text columns plus what the file name says, and the file's ``path`` if asked for.
 
     Rows with fewer fields are dropped, extra fields ignored. A .gz file is one
     task; pass ``partitions`` to spread its rows afterwards.
@@ -165,6 +165,7 @@ def scan_deals(
     return lines.select(
         *[_unquoted(fields, i).alias(c) for i, c in enumerate(DEAL_COLUMNS)],
         *[e.alias(n) for n, e in dataset_columns(F.col("file_name")).items()],
+        *(["path"] if with_path else []),
     )
 
 
