@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD_GAP, lower_ascii, saved, ship, table
-from .simhash import resembling_groups
+from .resemble import resembling_groups, text_hash
 
 CAPACITY = 2048  # words of a window
 SHARD = 4096  # rows that are packed together
@@ -97,26 +97,32 @@ def same_text_cluster(text: Column) -> Column:
     return F.xxhash64(F.array_join(words_of(lower_ascii(text)), " "))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, cluster, n_words) of every row; the cluster is ``docs.cluster`` where there is one, else that of equal texts."""
+def sized(docs: DataFrame, cluster: str | None = None) -> DataFrame:
+    """(doc_id, source, cluster, n_words) of every row; the cluster is that of the column named, else that of equal texts."""
     text = F.col("text").cast("string")
-    cluster = F.col("cluster").cast("string") if "cluster" in docs.columns else same_text_cluster(text).cast("string")
+    own = F.col(cluster).cast("string") if cluster else same_text_cluster(text).cast("string")
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), cluster.alias("cluster"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), own.alias("cluster"),
         F.size(words_of(text)).cast("long").alias("n_words"),
     )
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, cluster: str | None = None) -> DataFrame:
     """(doc_id, piece, first_word, n_words, bin_id, slot): where every piece of every row of ``docs`` goes.
 
-    ``docs`` has doc_id, text, source and maybe cluster. Pieces of a document
-    follow one another without gap. Empty and null texts have one piece without
-    words. A null source or cluster conflicts with nothing. Repeated rows are
-    packed each on their own; equal ones share a cluster, so never a window. The
-    result depends on the rows only, not on their order. Empty in, empty out.
+    ``docs`` has doc_id, text and source; ``cluster`` names its column of
+    duplicate clusters, if it has one. Pieces of a document follow one another
+    without gap. Empty and null texts have one piece without words. A null source or
+    cluster conflicts with nothing. Repeated rows are packed each on their own;
+    equal ones share a cluster, so never a window. The result depends on the
+    rows only, not on their order. Extra columns are not read. Empty in, empty out.
     """
-    rows = saved(sized(docs), "sized")
+    return pack_sized(sized(docs, cluster), capacity, shard)
+
+
+def pack_sized(sizes: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+    """``pack`` of (doc_id, source, cluster, n_words) rows."""
+    rows = saved(sizes, "sized")
     shards = max(1, -(-rows.count() // shard))
     # the hash of a repeated row is the same, so many exact repeats would meet: they are dealt by their number too
     copies = rows.groupBy("doc_id", "source", "cluster", "n_words").agg(F.count(F.lit(1)).alias("n"))
@@ -136,17 +142,20 @@ def packed_texts(docs: DataFrame, capacity: int = CAPACITY, separator: str = "\n
 
 
 def clustered(docs: DataFrame) -> DataFrame:
-    """``docs`` with the near-duplicate component of every row as its cluster."""
-    # rows without a word resemble nothing; they share a cluster, as equal texts do
-    found = resembling_groups(docs).select(F.col("doc_id").alias("its_id"), F.col("text_hash").alias("its_hash"), F.col("component").alias("cluster")).dropDuplicates(["its_id", "its_hash"])
-    rows = docs.select("doc_id", "text", "source", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("its_text"))
-    met = rows.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("its_id")) & (F.col("its_text") == F.col("its_hash")), "left")
-    return met.select("doc_id", "text", "source", "cluster")
+    """(doc_id, source, cluster, n_words) of every row of ``docs``, with its near-duplicate component as cluster.
+
+    Rows without a word resemble nothing; they share a cluster, as equal texts do.
+    Words are counted before the clusters are joined, so no text is shuffled.
+    """
+    found = resembling_groups(docs).select(F.col("doc_id").alias("its_id"), F.col("text_hash").alias("its_hash"), F.col("component").alias("its_cluster"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_hash().alias("text_hash"), F.size(words_of(F.col("text").cast("string"))).cast("long").alias("n_words"))
+    met = rows.join(found.dropDuplicates(["its_id", "its_hash"]), F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("text_hash") == F.col("its_hash")), "left")
+    return met.select("doc_id", "source", F.col("its_cluster").cast("string").alias("cluster"), "n_words")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Window, slot and span of every piece of every document; near copies never share a window."""
-    return pack(clustered(table(spark, sf_dir, "documents")))
+    return pack_sized(clustered(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {"op5_packing": op5_packing}

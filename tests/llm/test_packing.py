@@ -73,10 +73,10 @@ def test_shards_long_texts_and_own_clusters(spark):
     rng = random.Random(1)
     rows = [(i, " ".join("w" * rng.randrange(1, 9) for _ in range(rng.choice([0, 3, 40, 50, 51, 170]))), rng.choice(["hot", "a", "b", None]), i % 7) for i in range(400)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, cluster int, n_words string")
-    pieces = packing.pack(df, capacity=50, shard=64).collect()
+    pieces = packing.pack(df, capacity=50, shard=64, cluster="cluster").collect()
     check({r[0]: (len(r[1].split()), r[2], r[3]) for r in rows}, pieces, 50)
     assert len({p.bin_id >> 32 for p in pieces}) > 1
-    assert sorted(map(tuple, packing.pack(df.repartition(7), capacity=50, shard=64).collect())) == sorted(map(tuple, pieces))
+    assert sorted(map(tuple, packing.pack(df.repartition(7), capacity=50, shard=64, cluster="cluster").collect())) == sorted(map(tuple, pieces))
 
 
 def test_nulls_repeats_and_empty(spark):

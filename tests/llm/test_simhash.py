@@ -104,28 +104,3 @@ def test_components(spark, links):
                     want[x] = n
                     todo += near[x]
     assert got == want
-
-
-def five_word_jaccard(a, b):
-    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.lower().split(), b.lower().split()))
-    return len(a & b) / len(a | b)
-
-
-def test_edited_copies_of_five_word_shingles(spark):
-    """Pairs at resemblance 0.8 and more, many of them beyond two bits, against all pairs."""
-    rng = random.Random(21)
-    vocabulary = [f"v{i}" for i in range(4000)]
-    rows = []
-    for i in range(60):
-        base = rng.choices(vocabulary, k=rng.choice([60, 200, 500]))
-        copy = list(base)
-        for at in rng.sample(range(len(base)), max(1, rng.randrange(len(base) // 30))):
-            copy[at] = rng.choice(vocabulary)
-        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
-    want = {i + 1 for i in range(0, 120, 2) if five_word_jaccard(rows[i][1], rows[i + 1][1]) >= 0.8}
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, other string")
-    kept = simhash.first_resembling(df)
-    assert kept.columns == df.columns
-    gone = {i for i, _ in rows} - {r.doc_id for r in kept.collect()}
-    assert 20 < len(want) < 60 and gone == want
-    assert want & {r.doc_id for r in simhash.first_of_each(df).collect()}  # the narrow rule keeps some of them
