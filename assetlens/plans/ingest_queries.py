@@ -406,6 +406,42 @@ SELECT CAST(d AS VARCHAR) AS day, line, COUNT(*) AS apps,
 FROM e WHERE d + INTERVAL 1 DAY <= (SELECT MAX(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2
 """
 
+def live_days(spark: SparkSession, sf: str) -> DataFrame:
+    """The events in four files, every 50th held back to the last one: all days with their sums, open ones too, and
+    the rows that came after their day had closed."""
+    base = _run_dir(spark, "days")
+    events = table(spark, sf, "events")
+    whole = F.floor("value").cast("bigint")
+    rows = events.select(
+        F.when(F.col("event_id") % 50 == 0, 3).otherwise(F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))).cast("int").alias("part"),
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("line"),
+        workload.request_minutes(F.lit("mdo"), whole % 7 == 0, whole % 11 == 0).cast("bigint").alias("minutes"),
+        (whole % 5 == 0).alias("overdue"), F.when((whole % 8).between(1, 5), (whole % 8).cast("int")).alias("csi"),
+    )
+    for part in range(4):
+        rows.where(F.col("part") == part).drop("part").coalesce(1).write.parquet(f"{base}/in/{part}")
+        stream = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
+        live.keep_days(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    late = live.read_late(spark, f"{base}/out").groupBy(F.to_date("ts").alias("day"), "line").agg(F.count("*").alias("late"))
+    days = live.read_days(spark, f"{base}/out")
+    return days.join(late, ["day", "line"], "full").select(
+        F.col("day").cast("string").alias("day"), "line", "minutes", F.coalesce("closed", F.lit(True)).alias("closed"),
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("apps", "overdue", "csi_1", "csi_5", "late")],
+    )
+
+
+LIVE_DAYS_SQL = """
+WITH e AS (SELECT ts, CAST(ts AS DATE) AS d, event_type AS line, CAST(floor(value) AS BIGINT) AS w, event_id % 50 = 0 AS held FROM events),
+m AS (SELECT MAX(ts) - INTERVAL 1 DAY AS mark FROM e WHERE NOT held),
+x AS (SELECT e.*, held AND d + INTERVAL 1 DAY <= mark AS late FROM e CROSS JOIN m),
+n AS (SELECT MAX(ts) - INTERVAL 1 DAY AS mark FROM x WHERE NOT late)
+SELECT CAST(d AS VARCHAR) AS day, line, COUNT(*) FILTER (NOT late) AS apps,
+  CAST(SUM(CASE WHEN w % 11 = 0 THEN 240 WHEN w % 7 = 0 THEN 150 ELSE 20 END) FILTER (NOT late) AS BIGINT) AS minutes,
+  COUNT(*) FILTER (NOT late AND w % 5 = 0) AS overdue, COUNT(*) FILTER (NOT late AND w % 8 = 1) AS csi_1, COUNT(*) FILTER (NOT late AND w % 8 = 5) AS csi_5,
+  d + INTERVAL 1 DAY <= MAX(mark) AS closed, COUNT(*) FILTER (late) AS late
+FROM x CROSS JOIN n GROUP BY d, line
+"""
+
 QUERIES = {
     "text_scan": text_scan,
     "code_mining": code_mining,
@@ -421,6 +457,7 @@ QUERIES = {
     "key_search_files": key_search_files,
     "stream_latest": stream_latest,
     "live_kpis": live_kpis,
+    "live_days": live_days,
 }
 ORACLES = {
     "stream_deal_files": STREAM_DEALS_SQL,
@@ -437,4 +474,5 @@ ORACLES = {
     "ingest_available_now": INGEST_SQL,
     "stream_latest": STREAM_LATEST_SQL,
     "live_kpis": LIVE_SQL,
+    "live_days": LIVE_DAYS_SQL,
 }

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from assetlens.sources import deal_files
-from assetlens.streaming import ingest, latest, live
+from assetlens.streaming import batches, ingest, latest, live
 
 
 def _file(folder, name, *numbers):
@@ -63,3 +63,40 @@ def test_live_days_close_with_the_watermark(spark, tmp_path):
     ingest.append_available(live.daily_line_kpis(stream), out, str(tmp_path / "check")).awaitTermination()
     got = [(str(r.day), r.apps, r.minutes, r.overdue, r.csi_4) for r in spark.read.parquet(out).collect()]
     assert got == [("2026-01-01", 2, 170, 1, 1)]
+
+
+def test_folders_stay_few_and_rows_the_same(spark, tmp_path):
+    """Many batches, one of them run twice, merged level by level."""
+    root, want = str(tmp_path / "b"), {}
+    merge = lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n"), F.max("t").alias("t"))
+    for i in range(40):
+        rows = [(i % 5, i), (7, 1)]
+        df = spark.createDataFrame([(k, n, i) for k, n in rows], "k int, n int, t int").groupBy("k").agg(F.sum("n").alias("n"), F.max("t").alias("t"))
+        for _ in range(2 if i in (9, 33) else 1):
+            batches.keep(df, i, root, merge, fan=3)
+        for k, n in rows:
+            want[k] = want.get(k, 0) + n
+    assert {r.k: r.n for r in merge(batches.read(spark, root)).collect()} == want
+    live_folders = batches.folders(spark, root)
+    assert len(live_folders) <= 3 * 4 and max(f["level"] for f in live_folders) >= 3
+    assert sorted(i for f in live_folders for i in (f["first"], f["last"]) if f["first"] == f["last"])[-1] == 39
+    assert len(list((tmp_path / "b/data").iterdir())) <= len(live_folders) + 3 * batches.KEPT
+    assert len([f for f in (tmp_path / "b/versions").iterdir() if not f.name.startswith(".")]) <= batches.KEPT
+
+
+def test_days_and_late_rows_are_the_whole_input(spark, tmp_path):
+    source, root, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    day = lambda d, h: dt.datetime(2026, 1, d, h)
+    schema = "ts timestamp, line string, minutes int, overdue boolean, csi int"
+    for rows in (
+        [(day(1, 9), "a", 20, True, 5), (day(1, 10), "b", 30, False, None)],
+        [(day(3, 8), "a", 10, False, 1), (day(1, 11), "a", 40, False, 5)],  # day 1 is open until a batch after this one
+        [(day(1, 12), "a", 99, True, 2), (day(2, 1), "a", 1, False, None), (None, "b", 5, False, None)],
+    ):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        live.keep_days(spark.readStream.schema(schema).parquet(source), root, check).awaitTermination()
+    got = sorted((str(r.day), r.line, r.apps, r.minutes, r.overdue, r.csi_5, r.closed) for r in live.read_days(spark, root).collect())
+    assert got == [
+        ("2026-01-01", "a", 2, 60, 1, 2, True), ("2026-01-01", "b", 1, 30, 0, 0, True), ("2026-01-02", "a", 1, 1, 0, 0, False), ("2026-01-03", "a", 1, 10, 0, 0, False),
+    ]
+    assert sorted((r.minutes, r.line) for r in live.read_late(spark, root).collect()) == [(5, "b"), (99, "a")]
