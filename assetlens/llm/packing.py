@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD_GAP, lower_ascii, saved, ship, table
-from .resemble import resembling_groups, text_hash
+from .resemble import resembling_groups
 
 CAPACITY = 2048  # words of a window
 SHARD = 4096  # rows that are packed together
@@ -145,12 +145,8 @@ def clustered(docs: DataFrame) -> DataFrame:
     """(doc_id, source, cluster, n_words) of every row of ``docs``, with its near-duplicate component as cluster.
 
     Rows without a word resemble nothing; they share a cluster, as equal texts do.
-    Words are counted before the clusters are joined, so no text is shuffled.
     """
-    found = resembling_groups(docs).select(F.col("doc_id").alias("its_id"), F.col("text_hash").alias("its_hash"), F.col("component").alias("its_cluster"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_hash().alias("text_hash"), F.size(words_of(F.col("text").cast("string"))).cast("long").alias("n_words"))
-    met = rows.join(found.dropDuplicates(["its_id", "its_hash"]), F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("text_hash") == F.col("its_hash")), "left")
-    return met.select("doc_id", "source", F.col("its_cluster").cast("string").alias("cluster"), "n_words")
+    return resembling_groups(docs).select("doc_id", "source", F.col("component").cast("string").alias("cluster"), "n_words")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, saved, ship, texts_of
+from .common import map_texts, saved, ship
 from .components import components
 
 WORDS, RESEMBLANCE = 5, 0.8
@@ -45,6 +45,7 @@ RADIUS, RADIUS_LOW = 30, 19  # of all bits, and of the lower 64, that texts to b
 SEED = 42
 WIDTH = BITS // SEGMENTS
 LANES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+FACTORS = tuple((0x9E3779B97F4A7C15 * (2 * k + 1) * (2 * k + 3)) & (1 << 64) - 1 for k in range(WORDS))  # odd, one for each place
 CHUNK = 255  # shingles that a byte can count
 
 
@@ -55,23 +56,35 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles_of(text: str | None) -> tuple[int, np.ndarray]:
-    """(hash of the words, sorted hashes of the different shingles)."""
-    words = (text or "").encode("utf-8").lower().split()  # of bytes: ASCII letters and white space only
-    whole = xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    if len(words) < WORDS:
-        return whole, np.array([whole] if words else [], dtype=np.uint64)
-    known: dict[bytes, int] = {}
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((known.get(w) or known.setdefault(w, digest(w, SEED)) for w in words), dtype=np.uint64, count=len(words))
-    run = np.zeros(len(words) - WORDS + 1, dtype=np.uint64)
+def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, list[int], list[np.ndarray]]:
+    """For every text the hash of its words, their number, and the sorted hashes of its different shingles."""
+    digest, known = xxhash.xxh64_intdigest, {}
+    whole, counts, hashes = np.zeros(len(texts), dtype=np.uint64), [], []
+    for i, text in enumerate(texts):
+        words = (text or "").encode("utf-8").lower().split()  # of bytes: ASCII letters and white space only
+        whole[i] = digest(b" ".join(words), SEED)
+        counts.append(len(words))
+        for w in set(words) - known.keys():
+            known[w] = digest(w, SEED)
+        hashes.append(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)))
+    h = np.concatenate([np.zeros(0, dtype=np.uint64), *hashes])
+    runs = np.zeros(max(0, len(h) - WORDS + 1), dtype=np.uint64)
     for k in range(WORDS):
-        run = _mixed(run + hashes[k : k + len(run)])
-    return whole, np.unique(run)
+        runs += h[k : k + len(runs)] * np.uint64(FACTORS[k])
+    runs = _mixed(runs)
+    sets, at = [], 0
+    for i, n in enumerate(counts):
+        own = np.sort(runs[at : at + n - WORDS + 1]) if n >= WORDS else whole[i : i + 1][: min(n, 1)]
+        sets.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own)
+        at += n
+    return whole, counts, sets
 
 
 def fingerprints_of(sets: list[np.ndarray]) -> np.ndarray:
-    """(len(sets), 2) fingerprints: a bit is 1 where over half of a set's hashes have it; of an empty set none."""
+    """(len(sets), 2) fingerprints: a bit is 1 where over half of a set's hashes have it; of an empty set none.
+
+    Where it is just half, the smallest hash decides: a fixed value would make texts of few shingles alike.
+    """
     out = np.zeros((len(sets), len(LANES)), dtype=np.uint64)
     full = [i for i, s in enumerate(sets) if len(s)]
     if not full:
@@ -88,24 +101,24 @@ def fingerprints_of(sets: list[np.ndarray]) -> np.ndarray:
             sums = np.add.reduceat((mixed >> np.uint64(bit)) & np.uint64(0x0101010101010101), starts)
             counts[:, :, bit] = sums.astype("<u8").view(np.uint8).reshape(-1, 8)
         ones = np.add.reduceat(counts.reshape(len(starts), 64), first, axis=0)
-        out[full, lane] = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+        least = np.unpackbits(mixed[at[:-1]].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out[full, lane] = np.packbits(2 * ones + least > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [shingles_of(t) for t in texts_of(batch)]
-        prints = fingerprints_of([s for _, s in found]).view(np.int64)
-        same = np.array([w for w, _ in found], dtype=np.uint64).view(np.int64)
-        columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(same), pa.array([len(s) for _, s in found], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1])]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "same", "n", "f0", "f1"])
+        whole, counts, sets = shingle_sets(batch.column("text").to_pylist())
+        prints = fingerprints_of(sets).view(np.int64)
+        kept = [n for n in batch.schema.names if n != "text"]
+        new = {"n_words": pa.array(counts, pa.int64()), "same": pa.array(whole.view(np.int64)), "n": pa.array([len(s) for s in sets], pa.int64()), "f0": pa.array(prints[:, 0]), "f1": pa.array(prints[:, 1])}
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *new.values()], [*kept, *new])
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [shingles_of(t) for t in texts_of(batch)]
-        same = np.array([w for w, _ in rows], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(same), pa.array([s.astype("<u8").tobytes() for _, s in rows], pa.binary())], ["same", "shingles"])
+        whole, _, sets = shingle_sets(batch.column("text").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["same", "shingles"])
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +135,8 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
+def _texts(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), *more, F.col("text").cast("string").alias("text"))
 
 
 def _segments() -> list[Column]:
@@ -208,25 +221,36 @@ def _between(texts: DataFrame, placed: DataFrame) -> DataFrame:
     met = s.join(q, (F.col("s.key") == F.col("q.key")) & (F.col("s.group") != F.col("q.group")) & (least <= RADIUS_LOW))
     met = saved(met.select("s.key", F.col("s.group").alias("gs"), F.col("s.one").alias("a"), F.col("q.group").alias("gq"), F.col("q.one").alias("b")), "cells-that-met")
 
-    def opened(side: DataFrame, group: str, one: str, members: DataFrame) -> DataFrame:
-        """``side`` with a row for each member of the cells that hold several."""
+    known = rows.select("same", F.struct("n", "f0", "f1").alias("x"))
+
+    def near(x: Column, y: Column) -> Column:
+        return (_differing(x["f0"], y["f0"]) + _differing(x["f1"], y["f1"]) <= RADIUS) & _sizes(x["n"], y["n"])
+
+    def opened(side: DataFrame, group: str, one: str, members: DataFrame, other: str | None) -> DataFrame:
+        """``side`` with a row for each member of the cells that hold several, of those near the text ``other`` where that is one."""
         mine = members.where("NOT lone").select(F.col("key").alias("its_key"), F.col("group").alias("its_group"), F.col("same").alias("member"))
-        many = side.where(F.col(one).isNull()).join(mine, (F.col("key") == F.col("its_key")) & (F.col(group) == F.col("its_group")))
+        many, on = side.where(F.col(one).isNull()), (F.col("key") == F.col("its_key")) & (F.col(group) == F.col("its_group"))
+        if other:
+            mine = mine.join(known.select(F.col("same").alias("member"), F.col("x").alias("y")), "member")
+            many = many.join(known.select(F.col("same").alias(other), "x"), other)
+            on = on & near(F.col("x"), F.col("y"))
+        many = many.join(mine, on)
         return side.where(F.col(one).isNotNull()).unionByName(many.withColumn(one, F.col("member")).select(side.columns))
 
-    pairs = opened(opened(met, "gs", "a", stored), "gq", "b", sought)
+    met = opened(met.where("b IS NULL"), "gs", "a", stored, None).unionByName(opened(met.where("b IS NOT NULL"), "gs", "a", stored, "b"))
+    pairs = opened(met, "gq", "b", sought, "a")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    known = rows.select("same", "n", "f0", "f1")
-    x = known.select(F.col("same").alias("a"), F.struct("n", "f0", "f1").alias("x"))
-    y = known.select(F.col("same").alias("b"), F.struct("n", "f0", "f1").alias("y"))
-    both = pairs.join(x, "a").join(y, "b")
-    far = _differing(F.col("x.f0"), F.col("y.f0")) + _differing(F.col("x.f1"), F.col("y.f1"))
-    return both.where((far <= RADIUS) & _sizes(F.col("x.n"), F.col("y.n"))).select("a", "b")
+    both = pairs.join(known.select(F.col("same").alias("a"), "x"), "a").join(known.select(F.col("same").alias("b"), F.col("x").alias("y")), "b")
+    return both.where(near(F.col("x"), F.col("y"))).select("a", "b")
 
 
 def resembling_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, same, component) of every row of ``docs`` (doc_id, text); component is one ``same`` of the group."""
-    rows = saved(map_texts(_texts(docs), _prints, "doc_id long, text_hash long, same long, n long, f0 long, f1 long"), "prints")
+    """(doc_id, text_hash, source, n_words, same, component) of every row of ``docs``; component is one ``same`` of the group.
+
+    ``source`` is null where ``docs`` has no such column; n_words counts words.
+    """
+    source = (F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")).alias("source")
+    rows = saved(map_texts(_texts(docs, source), _prints, "doc_id long, text_hash long, source string, n_words long, same long, n long, f0 long, f1 long"), "prints")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
     texts = rows.groupBy("same").agg(F.min(order).alias("first"), *(F.min(c).alias(c) for c in ("n", "f0", "f1")))
     texts = saved(texts, "different-texts")
@@ -239,7 +263,8 @@ def resembling_groups(docs: DataFrame) -> DataFrame:
         placed = _joined(placed, links)
     whole = _joined(placed, _resembling(docs, texts, saved(_between(texts, placed), "texts-apart")))
     whole = whole.select(F.col("same").alias("of"), F.col("group").alias("component"))
-    return rows.select("doc_id", "text_hash", "same").join(whole, F.col("same") == F.col("of")).select("doc_id", "text_hash", "same", "component")
+    named = rows.select("doc_id", "text_hash", "source", "n_words", "same").join(whole, F.col("same") == F.col("of"))
+    return named.select("doc_id", "text_hash", "source", "n_words", "same", "component")
 
 
 def _joined(placed: DataFrame, links: DataFrame) -> DataFrame:
