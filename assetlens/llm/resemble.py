@@ -47,6 +47,9 @@ WIDTH = BITS // SEGMENTS
 LANES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 FACTORS = tuple((0x9E3779B97F4A7C15 * (2 * k + 1) * (2 * k + 3)) & (1 << 64) - 1 for k in range(WORDS))  # odd, one for each place
 CHUNK = 255  # shingles that a byte can count
+BASE, PIECE = 0x5851F42D4C957F2D, 1 << 20  # of the polynomial, odd; bytes hashed together
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint64) + np.uint64(1)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -56,28 +59,46 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of every word: a polynomial over its bytes, from one running sum over all of them."""
+    word = ~SPACE[data]
+    edge = np.diff(word.astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    powers = np.cumprod(np.full(len(data), BASE, dtype=np.uint64))
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(LOWER[data] * powers)])
+    back = np.cumprod(np.full(len(data), pow(BASE, -1, 1 << 64), dtype=np.uint64))
+    return _mixed((sums[ends] - sums[starts]) * back[starts]), starts
+
+
 def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, list[int], list[np.ndarray]]:
-    """For every text the hash of its words, their number, and the sorted hashes of its different shingles."""
-    digest, known = xxhash.xxh64_intdigest, {}
-    whole, counts, hashes = np.zeros(len(texts), dtype=np.uint64), [], []
-    for i, text in enumerate(texts):
-        words = (text or "").encode("utf-8").lower().split()  # of bytes: ASCII letters and white space only
-        whole[i] = digest(b" ".join(words), SEED)
-        counts.append(len(words))
-        for w in set(words) - known.keys():
-            known[w] = digest(w, SEED)
-        hashes.append(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)))
-    h = np.concatenate([np.zeros(0, dtype=np.uint64), *hashes])
-    runs = np.zeros(max(0, len(h) - WORDS + 1), dtype=np.uint64)
-    for k in range(WORDS):
-        runs += h[k : k + len(runs)] * np.uint64(FACTORS[k])
-    runs = _mixed(runs)
-    sets, at = [], 0
-    for i, n in enumerate(counts):
-        own = np.sort(runs[at : at + n - WORDS + 1]) if n >= WORDS else whole[i : i + 1][: min(n, 1)]
-        sets.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own)
-        at += n
-    return whole, counts, sets
+    """For every text the hash of its words, their number, and the sorted hashes of its different shingles.
+
+    Words are lower case in ASCII and split at space and \\t..\\r. Texts are
+    taken together up to ``PIECE`` bytes, a longer one alone.
+    """
+    whole, counts, sets = [], [], []
+    at = 0
+    encoded = [(t or "").encode("utf-8") for t in texts]
+    while at < len(encoded):
+        end, size = at + 1, len(encoded[at])
+        while end < len(encoded) and size + len(encoded[end]) < PIECE:
+            size += len(encoded[end]) + 1
+            end += 1
+        part = encoded[at:end]
+        h, starts = _word_hashes(np.frombuffer(b" ".join(part), dtype=np.uint8))
+        edges = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in part)]))
+        runs = np.zeros(max(0, len(h) - WORDS + 1), dtype=np.uint64)
+        for k in range(WORDS):
+            runs += h[k : k + len(runs)] * np.uint64(FACTORS[k])
+        runs = _mixed(runs)
+        for first, last in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            n = last - first
+            whole.append(xxhash.xxh64_intdigest(h[first:last].tobytes(), SEED))
+            counts.append(n)
+            own = np.sort(runs[first : last - WORDS + 1]) if n >= WORDS else np.array(whole[-1:] if n else [], dtype=np.uint64)
+            sets.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own)
+        at = end
+    return np.array(whole, dtype=np.uint64), counts, sets
 
 
 def fingerprints_of(sets: list[np.ndarray]) -> np.ndarray:
