@@ -41,7 +41,7 @@ from .components import components
 
 WORDS, RESEMBLANCE = 5, 0.8
 BITS, SEGMENTS = 128, 8
-RADIUS, RADIUS_LOW = 30, 19  # of all bits, and of the lower 64, that texts to be checked may differ in
+RADIUS, RADIUS_HALF = 30, 19  # of all bits, and of either half, that texts to be checked may differ in
 SEED = 42
 WIDTH = BITS // SEGMENTS
 LANES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
@@ -220,9 +220,9 @@ def _near_groups(texts: DataFrame, placed: DataFrame) -> DataFrame:
 
 def _cells(rows: DataFrame) -> DataFrame:
     """(key, group, low, high, one): the members of a component under a key as one row; ``one`` is the text where it is one."""
-    lone = rows.where("lone").select("key", "group", F.col("f0").alias("low"), F.col("f0").alias("high"), F.col("same").alias("one"))
+    lone = rows.where("lone").select("key", "group", F.col("half").alias("low"), F.col("half").alias("high"), F.col("same").alias("one"))
     several = rows.where("NOT lone").groupBy("key", "group").agg(
-        F.bit_and("f0").alias("low"), F.bit_or("f0").alias("high"), F.when(F.count(F.lit(1)) == 1, F.min("same")).alias("one")
+        F.bit_and("half").alias("low"), F.bit_or("half").alias("high"), F.when(F.count(F.lit(1)) == 1, F.min("same")).alias("one")
     )
     return lone.unionByName(several)
 
@@ -233,13 +233,23 @@ def _between(texts: DataFrame, placed: DataFrame) -> DataFrame:
     ``placed`` has same, group and lone (whether the group is that text alone).
     """
     rows = saved(texts.where("n > 0").join(placed, "same").select("same", "n", "f0", "f1", "group", "lone"), "placed-texts")
-    stored = rows.select("same", "f0", "group", "lone", F.explode(F.array(*_segments())).alias("key"))
-    sought = rows.select("same", "f0", "group", "lone", F.explode(F.flatten(F.array(*map(_ball, _segments())))).alias("key"))
+    # a key goes with the half of the fingerprint that it is not of: the own half is near by the key alone
+    other = [F.col("f1")] * (SEGMENTS // 2) + [F.col("f0")] * (SEGMENTS // 2)
+
+    def keyed(keys: Column) -> DataFrame:
+        return rows.select("same", "group", "lone", F.explode(keys).alias("at")).select("same", "group", "lone", "at.key", "at.half")
+
+    def under(half: Column):
+        return lambda k: F.struct(k.alias("key"), half.alias("half"))
+
+    pairs = list(zip(_segments(), other, strict=True))
+    stored = keyed(F.array(*(under(half)(k) for k, half in pairs)))
+    sought = keyed(F.flatten(F.array(*(F.transform(_ball(k), under(half)) for k, half in pairs))))
     s, q = _cells(stored).alias("s"), _cells(sought).alias("q")
     # bits that all members of both cells have, and have differently
     fixed = (F.col("s.low").bitwiseXOR(F.col("s.high"))).bitwiseOR(F.col("q.low").bitwiseXOR(F.col("q.high")))
     least = F.bit_count(F.col("s.low").bitwiseXOR(F.col("q.low")).bitwiseAND(F.bitwise_not(fixed)))
-    met = s.join(q, (F.col("s.key") == F.col("q.key")) & (F.col("s.group") != F.col("q.group")) & (least <= RADIUS_LOW))
+    met = s.join(q, (F.col("s.key") == F.col("q.key")) & (F.col("s.group") != F.col("q.group")) & (least <= RADIUS_HALF))
     met = saved(met.select("s.key", F.col("s.group").alias("gs"), F.col("s.one").alias("a"), F.col("q.group").alias("gq"), F.col("q.one").alias("b")), "cells-that-met")
 
     known = rows.select("same", F.struct("n", "f0", "f1").alias("x"))

@@ -57,8 +57,9 @@ def test_recall_of_the_index_at_the_limit():
             continue
         x, y = (int(p[0]) | int(p[1]) << 64 for p in resemble.fingerprints_of([a, b]))
         d, w = x ^ y, resemble.WIDTH
-        found = any((d >> s * w & (1 << w) - 1).bit_count() <= 1 for s in range(resemble.SEGMENTS))
-        found = found and d.bit_count() <= resemble.RADIUS and (d & (1 << 64) - 1).bit_count() <= resemble.RADIUS_LOW
+        halves, half = (d & (1 << 64) - 1, d >> 64), resemble.SEGMENTS // 2
+        found = any((d >> s * w & (1 << w) - 1).bit_count() <= 1 and halves[s < half].bit_count() <= resemble.RADIUS_HALF for s in range(resemble.SEGMENTS))
+        found = found and d.bit_count() <= resemble.RADIUS
         met.append(found)
         near += [found] if j <= 0.82 else []
     assert len(near) > 30 and np.mean(near) >= 0.85 and np.mean(met) >= 0.95
