@@ -291,13 +291,19 @@ def _extra(**pairs: Column) -> Column:
     return map_last_wins(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
+_HISTORY = "struct<status string, message string, error string, state string, carData string>"
+_HISTORY_CAR = "struct<model string, volume string, vin string, year string, color string, type string, power string>"
+
+
 def history_cards(df: DataFrame, payload: str, query: str, is_plate: Column, *keep: str) -> DataFrame:
     """Cards from the history provider's JSON: ``status`` plus ``carData`` with
     one make-and-model text and the engine volume in cm3."""
-    at = lambda path: F.get_json_object(F.col(payload), path)
-    car = lambda name: at(f"$.carData.{name}")
-    truthy = ~F.coalesce(at("$.status"), F.lit("false")).isin("false", "0", "", "null")
-    has_car = F.coalesce(~at("$.carData").isin("{}", "", "[]", "null"), F.lit(False))
+    # two parses a row; nested objects come back as their JSON text
+    df = df.withColumn("_p", F.from_json(payload, _HISTORY)).withColumn("_car", F.from_json("_p.carData", _HISTORY_CAR))
+    at = lambda name: F.col(f"_p.{name}")
+    car = lambda name: F.col(f"_car.{name}")
+    truthy = ~F.coalesce(at("status"), F.lit("false")).isin("false", "0", "", "null")
+    has_car = F.coalesce(~at("carData").isin("{}", "", "[]", "null"), F.lit(False))
     found = truthy & has_car
     name = squeeze(ids.fold_lookalikes(car("model")))
     make = F.substring_index(name, " ", 1)
@@ -314,8 +320,8 @@ def history_cards(df: DataFrame, payload: str, query: str, is_plate: Column, *ke
         F.lit("Сервер не вернул данные по этому VIN")
     )
     error = (
-        F.when(~truthy, F.coalesce(filled(at("$.message")), filled(at("$.error")), F.lit("Источник не вернул данные")))
-        .when(~has_car, F.when(at("$.state") == "no-data", no_data).otherwise(silent))
+        F.when(~truthy, F.coalesce(filled(at("message")), filled(at("error")), F.lit("Источник не вернул данные")))
+        .when(~has_car, F.when(at("state") == "no-data", no_data).otherwise(silent))
     )
     when_found = lambda c: F.when(found, c)
     return _card(

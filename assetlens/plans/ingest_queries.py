@@ -101,13 +101,12 @@ def code_mining(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("p_partkey") + 10_000_000_000).cast("string"), F.lit("  "), F.col("p_name"), F.lit("\n tail "),
         F.lpad((F.col("p_partkey") % 7).cast("string"), 12, "2"), F.lit(" "), F.col("p_type"), F.lit(" СПРАВОЧНИК x"),
     )
-    mined = codes.mine_codes(part.select(text.alias("text")))
-    # the repeated codes depend on the reading order of the book's pages
-    return mined.where(~F.col("code").startswith("2")).select("code", "label")
+    return codes.mine_codes(part.select(text.alias("text"), "p_partkey"), page="p_partkey").select("code", "label")
 
 
 CODE_MINING_SQL = """
 SELECT '0' || (p_partkey + 10000000000) AS code, p_name || ' tail' AS label FROM part
+UNION ALL SELECT lpad(CAST(p_partkey % 7 AS VARCHAR), 12, '2'), arg_max(p_type, p_partkey) FROM part GROUP BY 1
 UNION ALL SELECT * FROM (VALUES ('002001001000', 'Земельный участок'), ('002001002000', 'Здание'), ('002001003000', 'Помещение'),
  ('002001004000', 'Сооружение'), ('002001005000', 'Объект незавершенного строительства'), ('002001009000', 'Машино-место'))
 """

@@ -32,14 +32,15 @@ def read_code_dictionary(spark: SparkSession, path: str, field: str = "codes") -
     )
 
 
-def mine_codes(books: DataFrame, text: str = "text") -> DataFrame:
+def mine_codes(books: DataFrame, text: str = "text", page: str | None = None) -> DataFrame:
     """Code/label pairs in running text: an 11-12 digit code and the words up
-    to the next code. The last of equal codes wins, the type codes override.
+    to the next code. The last of equal codes wins, in the order of the ``page``
+    column, then of a hash of the text and the place in it; the type codes override.
     """
     found = F.regexp_extract_all(
         F.col(text), F.lit(r"(?s)(?<!\S)([0-9]{11,12}\s+(?:(?!\s[0-9]{11,12}\s).)+)"), F.lit(1)
     )
-    pairs = books.select(F.monotonically_increasing_id().alias("book"), F.posexplode(found).alias("pos", "hit"))
+    pairs = books.select(F.struct(*([page] if page else []), F.xxhash64(text)).alias("book"), F.posexplode(found).alias("pos", "hit"))
     code = F.regexp_extract("hit", r"^([0-9]+)", 1)
     label = squeeze(F.regexp_replace("hit", r"(?s)^[0-9]+\s+", ""))
     label = F.trim(F.regexp_replace(label, rf"(?s)\s*(?:{_HEADINGS}).*$", ""))
