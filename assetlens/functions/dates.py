@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import extract, strip
+from .text import extract, let, strip
 
 _ISO = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})(?:[ T]([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?)?"
 _DMY = r"^([0-9]{1,2})[./]([0-9]{1,2})[./]([0-9]{4})(?:\s+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?)?"
@@ -95,13 +95,32 @@ def is_workday(d: Column, days_off: Iterable[str] = EXTRA_DAYS_OFF) -> Column:
     )
 
 
+def _weekdays_upto(d: Column) -> Column:
+    """Mondays to Fridays from a Monday long ago up to ``d``."""
+    days = F.datediff(d, F.lit("1799-12-30").cast("date")) + 1  # a Monday
+    return F.floor(days / 7) * 5 + F.least(F.pmod(days, F.lit(7)), F.lit(5))
+
+
 def workdays_between(start: Column, end: Column, days_off: Iterable[str] = EXTRA_DAYS_OFF) -> Column:
-    """Inclusive count of workdays; 0 when ``end`` is before ``start``.
+    """Inclusive count of workdays; 0 when ``end`` is before ``start`` or a date is missing.
 
-    Meant for spans of months: the day list lives in one row only.
+    By difference: weekdays up to either end, less the holidays and days off between
+    that fall on one. No list of days, so a span may be of any length from 1800 on.
     """
-    days = F.when(end >= start, F.sequence(start, end)).otherwise(F.array().cast("array<date>"))
-    return F.size(F.filter(days, lambda d: is_workday(d, days_off)))
+    off = F.array(*[F.lit(d).cast("date") for d in sorted(set(days_off)) if d[5:] not in HOLIDAYS]).cast("array<date>")
+    marks = F.array(*[F.lit(int(h[:2]) * 100 + int(h[3:])) for h in HOLIDAYS])
+
+    def of_year(y: Column) -> Column:
+        return F.transform(marks, lambda m: F.make_date(y, (m / 100).cast("int"), m % 100))
+
+    def count(span: Column) -> Column:
+        first, last = span["first"], span["last"]
+        free = F.concat(off, F.flatten(F.transform(F.sequence(F.year(first), F.year(last)), of_year)))
+        missing = F.size(F.filter(free, lambda d: (F.weekday(d) < 5) & d.between(first, last)))
+        weekdays = _weekdays_upto(last) - _weekdays_upto(F.date_sub(first, 1))
+        return F.when(last >= first, (weekdays - missing).cast("int")).otherwise(0)
+
+    return let(F.struct(start.alias("first"), end.alias("last")), count)
 
 
 def calendar(spark: SparkSession, start: str, end: str, days_off: Iterable[str] = EXTRA_DAYS_OFF) -> DataFrame:

@@ -10,11 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.dates import EXTRA_DAYS_OFF, is_workday, parse_date, parse_datetime, quarter_start, seconds_between, workdays_between
+from ..functions.dates import EXTRA_DAYS_OFF, parse_date, parse_datetime, quarter_start, seconds_between, workdays_between
 from ..functions.numbers import csi_bucket, load_percent, work_number
 from ..functions.text import first_by_rules, fold_yo, squeeze, strip
+from .ranking import with_rank
 
 # fixed values: ordinals of the export's columns
 START, END, RETURNS, PERSON, SEGMENT, OVERDUE, TAG, PRIORITY, SCORE = 18, 19, 22, 24, 31, 32, 33, 37, 39
@@ -268,7 +270,16 @@ def employee_kpis(person_lines: DataFrame) -> DataFrame:
 
 def line_kpis(person_lines: DataFrame) -> DataFrame:
     """Per line, busiest first, then by name in Russian order."""
-    return merge_kpis(person_lines, ["line", "kind"]).orderBy(F.desc("apps"), F.collate("line", "ru"))
+    return merge_kpis(person_lines, ["line", "kind"]).orderBy(*by_size())
+
+
+def by_size() -> list[Column]:
+    return [F.desc("apps"), F.collate("line", "ru").asc(), F.col("line").asc(), F.col("kind").asc()]
+
+
+def with_line_rank(person_lines: DataFrame) -> DataFrame:
+    """:func:`line_kpis` with ``rank``, the position in its order."""
+    return with_rank(merge_kpis(person_lines, ["line", "kind"]), by_size())
 
 
 def total_kpis(person_lines: DataFrame) -> DataFrame:
@@ -344,19 +355,27 @@ def resolve_absences(people: DataFrame, standing: DataFrame, overrides: DataFram
 
 
 def absence_days(absences: DataFrame, as_of: Column, days_off: Iterable[str] = EXTRA_DAYS_OFF) -> DataFrame:
-    """Workdays of the quarter each person missed, overlaps counted once.
+    """Workdays of the quarter each person missed, overlaps counted once."""
+    return missed_workdays(absences, quarter_start(as_of), as_of, days_off)
 
-    Periods become days within the quarter (92 at most), so the interval join
-    is an equi problem: distinct (person, day), combined map side.
+
+def missed_workdays(absences: DataFrame, start: Column, end: Column, days_off: Iterable[str] = EXTRA_DAYS_OFF) -> DataFrame:
+    """(person, absent_days): workdays between ``start`` and ``end`` that a person's periods cover.
+
+    No row per day: of the periods in order of their first day, each adds the
+    workdays after the last day reached before it. Periods of one first day are
+    one, the longest, before the shuffle, so a person has a row per day of the span
+    at most, however many periods they have. A period that ends before it begins,
+    lies outside or lacks a date counts for nothing.
     """
-    first = F.greatest(F.col("from"), quarter_start(as_of))
-    last = F.least(F.col("to"), as_of)
-    days = absences.where((F.col("to") >= F.col("from")) & (last >= first)).select(
-        "person", F.explode(F.sequence(first, last)).alias("day")
-    )
-    return (
-        days.where(is_workday(F.col("day"), days_off)).distinct().groupBy("person").agg(F.count("*").alias("absent_days"))
-    )
+    first, last = F.greatest(F.col("from"), start), F.least(F.col("to"), end)
+    whole = F.col("from").isNotNull() & (F.col("to") >= F.col("from")) & (last >= first)
+    periods = absences.where(whole).groupBy("person", first.alias("first")).agg(F.max(last).alias("last"))
+    earlier = W.partitionBy("person").orderBy("first").rowsBetween(W.unboundedPreceding, -1)
+    reached = periods.withColumn("reached", F.max("last").over(earlier))
+    new_from = F.when(F.col("reached") >= F.col("first"), F.date_add("reached", 1)).otherwise(F.col("first"))
+    added = reached.select("person", workdays_between(new_from, F.col("last"), days_off).alias("days"))
+    return added.groupBy("person").agg(F.sum("days").cast("bigint").alias("absent_days")).where("absent_days > 0")
 
 
 def with_plan(kpis: DataFrame, absences: DataFrame, as_of: Column, days_off: Iterable[str] = EXTRA_DAYS_OFF) -> DataFrame:
@@ -376,5 +395,15 @@ def with_plan(kpis: DataFrame, absences: DataFrame, as_of: Column, days_off: Ite
     )
 
 
+def by_load() -> list[Column]:
+    """Most loaded first, then by name in Russian order; the plain name parts what the collation holds equal."""
+    return [F.desc("load_pct"), F.collate("person", "ru").asc(), F.col("person").asc()]
+
+
 def ranked_by_load(kpis: DataFrame) -> DataFrame:
-    return kpis.orderBy(F.desc("load_pct"), F.collate("person", "ru"))
+    return kpis.orderBy(*by_load())
+
+
+def with_load_rank(kpis: DataFrame) -> DataFrame:
+    """``kpis`` with ``rank``, the position in :func:`ranked_by_load`, found in parallel."""
+    return with_rank(kpis, by_load())

@@ -267,7 +267,64 @@ SELECT 'order', CASE WHEN regexp_matches(lower(o_orderpriority), 'urgent|high')
   COUNT(*) FROM orders GROUP BY 1, 2, 3
 """
 
+# fixed values: names that differ by letter, dots and case only, in Russian order
+_NAMES = ("ежов", "елкин", "Елкин", "ёлкин", "Ёлкин", "Жуков")
+
+
+def _named_kpis(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums per person and line, persons six to a number, told apart by such a name."""
+    typed = workload.used(_typed(spark, sf))
+    number = F.substring_index("person", " ", -1).cast("bigint")
+    name = F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (F.floor(number / 2) % 6 + 1).cast("int"))
+    # roster numbers are even, so six in a row share the number behind the name
+    return workload.person_line_kpis(typed.withColumn("person", F.concat(name, F.lit(" "), F.lpad(F.floor(number / 12).cast("string"), 9, "0"))))
+
+
+def load_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """Position of every person by load, and of every line by size."""
+    parts = _named_kpis(spark, sf)
+    kpis = workload.employee_kpis(parts).withColumn("load_pct", workload.load_percent(F.col("minutes"), F.lit(120)))
+    people = workload.with_load_rank(kpis).select(F.lit("person").alias("what"), F.col("person").alias("name"), "rank", "apps")
+    lines = workload.with_line_rank(parts).select(F.lit("line").alias("what"), F.concat_ws("/", "line", "kind").alias("name"), "rank", "apps")
+    return people.unionByName(lines)
+
+
+LOAD_RANKING_SQL = f"""{TYPED_SQL},
+n AS (SELECT user_id, CAST(user_id // 2 % 6 AS INT) AS k, lpad(CAST(user_id // 12 AS VARCHAR), 9, '0') AS num, SUM(minutes) AS minutes, COUNT(*) AS apps FROM u GROUP BY 1),
+p AS (SELECT *, CASE k WHEN 0 THEN 0 WHEN 5 THEN 2 ELSE 1 END AS word FROM n),
+l AS (SELECT line, kind, COUNT(*) AS apps FROM u GROUP BY ALL)
+SELECT 'person' AS what, [{', '.join(f"'{n}'" for n in _NAMES)}][k + 1] || ' ' || num AS name, apps,
+  ROW_NUMBER() OVER (ORDER BY minutes DESC, word, num, k) AS rank FROM p
+UNION ALL SELECT 'line', line || '/' || kind, apps, ROW_NUMBER() OVER (ORDER BY apps DESC, line, kind) FROM l
+"""
+
+
+def absence_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Workdays that long overlapping periods cover in a span of seven years, per customer; order dates begin the periods."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    begin = F.to_date("o_orderdate")
+    periods = o.select(
+        F.col("o_custkey").cast("string").alias("person"),
+        begin.alias("from"),
+        F.date_add(begin, (F.col("o_orderkey") % 400).cast("int") - 3).alias("to"),
+    )
+    days_off = ("1995-01-09", "1996-03-11", "1996-03-08", "1997-05-10")  # the third is a holiday as it is, the last a Saturday
+    missed = workload.missed_workdays(periods, F.lit("1992-03-01").cast("date"), F.lit("1998-12-31").cast("date"), days_off)
+    return missed.select(F.col("person").cast("bigint").alias("o_custkey"), "absent_days")
+
+
+ABSENCE_SPANS_SQL = """
+WITH a AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS f, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 400 - 3 AS INT) AS t FROM orders),
+cal AS (SELECT CAST(d AS DATE) AS d FROM generate_series(DATE '1992-03-01', DATE '1998-12-31', INTERVAL 1 DAY) g(d)
+  WHERE isodow(d) < 6 AND strftime(d, '%m-%d') NOT IN
+  ('01-01','01-02','01-03','01-04','01-05','01-06','01-07','01-08','02-23','03-08','05-01','05-09','06-12','11-04')
+  AND CAST(d AS DATE) NOT IN (DATE '1995-01-09', DATE '1996-03-11'))
+SELECT CAST(o_custkey AS BIGINT) AS o_custkey, COUNT(DISTINCT d) AS absent_days FROM a JOIN cal ON d BETWEEN f AND t GROUP BY 1
+"""
+
 QUERIES = {
+    "load_ranking": load_ranking,
+    "absence_spans": absence_spans,
     "workload_kpis": workload_kpis,
     "workload_lines": workload_lines,
     "workload_matrix": workload_matrix,
@@ -277,6 +334,8 @@ QUERIES = {
     "ordered_rules": ordered_rules,
 }
 ORACLES = {
+    "load_ranking": LOAD_RANKING_SQL,
+    "absence_spans": ABSENCE_SPANS_SQL,
     "workload_kpis": WORKLOAD_KPIS_SQL,
     "workload_lines": WORKLOAD_LINES_SQL,
     "workload_matrix": WORKLOAD_MATRIX_SQL,
