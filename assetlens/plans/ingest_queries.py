@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import deals, workload
 from ..session import shared_dir
-from ..sources import codes, deal_files, key_filters, snapshots
+from ..sources import codes, deal_files, key_filters, key_sketches, snapshots
 from ..streaming import ingest, latest, live
 from .tables import spread, table
 
@@ -441,7 +441,48 @@ SELECT CAST(d AS VARCHAR) AS day, line, COUNT(*) FILTER (NOT late) AS apps,
 FROM x CROSS JOIN n GROUP BY d, line
 """
 
+def labelled_deals(spark: SparkSession, sf: str) -> DataFrame:
+    """Text files scanned and enriched: unit price, location and all three labels of the deals, counted."""
+    path = _run_dir(spark, "labelled")
+    _write_text(_raw_deals(spark, sf), path)
+    enriched = deals.enrich(deal_files.scan_deals(spark, [path]), _codes(spark, sf))
+    labels = ["location_label", "realestate_type_label", "purpose_label", "wall_material_label", "category_label"]
+    out = enriched.groupBy(*labels).agg(F.count("*").alias("n"), F.sum("unit_price").alias("unit_price"), F.count("unit_price").alias("with_unit_price"))
+    return out.withColumn("unit_price", F.col("unit_price").cast("bigint"))
+
+
+LABELLED_SQL = """
+WITH x AS (SELECT l_returnflag || ', a;b' AS location_label, l_linenumber % 2 = 0 AS land, l_linestatus = 'O' AS living, l_linenumber AS k,
+  CASE WHEN l_linenumber <> 7 THEN floor(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) / CAST(CAST(l_quantity AS DECIMAL(18,2)) AS DOUBLE) + 0.5) END AS up FROM lineitem)
+SELECT location_label, CASE WHEN land THEN 'Земельный участок' ELSE 'Помещение' END AS realestate_type_label,
+  CASE WHEN living THEN 'Жилое' ELSE 'Нежилое' END AS purpose_label, '10; Material ' || k AS wall_material_label,
+  CASE WHEN land THEN 'Земельные участки' WHEN living THEN 'Жилые помещения' ELSE 'Нежилые здания/помещения' END AS category_label,
+  COUNT(*) AS n, CAST(SUM(up) AS BIGINT) AS unit_price, COUNT(up) AS with_unit_price FROM x GROUP BY ALL
+"""
+
+
+def period_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Different quarter keys of each year and over all, from sketches stored per quarter, and exactly."""
+    rows = _raw_deals(spark, sf).select("quarter_cad_number", "y", "q", F.concat_ws("-", "y", "q").alias("dataset_file"))
+    path, by = _run_dir(spark, "sketches"), ["dataset_file", "y", "q"]
+    # two loads, the second with the first one's files again
+    key_sketches.extend(spark, path, rows.where("y < 1995"), "quarter_cad_number", by)
+    key_sketches.extend(spark, path, rows, "quarter_cad_number", by)
+    lines = key_sketches.stored(spark, path)
+    yearly = key_sketches.distinct_keys(lines, "y").join(key_sketches.exact_keys(rows, "quarter_cad_number", "y").select("y", F.col("keys").alias("exact")), "y")
+    total = key_sketches.distinct_keys(lines).withColumn("y", F.lit(0)).join(key_sketches.exact_keys(rows, "quarter_cad_number").select(F.lit(0).alias("y"), F.col("keys").alias("exact")), "y")
+    return yearly.unionByName(total)
+
+
+# a hundred keys at most: so few are counted exactly by a sketch too
+PERIOD_KEYS_SQL = """
+WITH r AS (SELECT CAST(year(l_shipdate) AS INT) AS y, l_suppkey % 100 AS k FROM lineitem)
+SELECT COALESCE(y, 0) AS y, COUNT(DISTINCT k) AS keys, COUNT(*) AS n_rows, COUNT(DISTINCT k) AS exact FROM r GROUP BY ROLLUP (y)
+"""
+
 QUERIES = {
+    "labelled_deals": labelled_deals,
+    "period_keys": period_keys,
     "text_scan": text_scan,
     "code_mining": code_mining,
     "quarter_index": quarter_index,
@@ -459,6 +500,8 @@ QUERIES = {
     "live_days": live_days,
 }
 ORACLES = {
+    "labelled_deals": LABELLED_SQL,
+    "period_keys": PERIOD_KEYS_SQL,
     "stream_deal_files": STREAM_DEALS_SQL,
     "reload_changed_files": RELOAD_SQL,
     "store_versions": STORE_VERSIONS_SQL,

@@ -9,7 +9,7 @@ from ..functions import address as addr
 from ..functions import geo
 from ..functions.text import extract, squeeze, strip_tags
 from ..operators import matching, registry
-from ..sources import responses
+from ..sources import html, responses
 from .tables import spread, table
 
 
@@ -376,7 +376,36 @@ def source_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 SOURCE_COUNTS_SQL = "SELECT source, COUNT(*) AS listings FROM documents GROUP BY source"
 
+def page_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Link to the original listing on every page, two search links and the map link of its place."""
+    p = table(spark, sf, "pages")
+    n = F.col("page_id") % 4
+    url = F.concat(F.lit("https://x.example/"), F.col("page_id").cast("string"))
+    listed = F.concat(F.lit("https://www.cian.ru/"), F.col("page_id").cast("string"))
+    mark = (
+        F.when(n == 0, F.concat(F.lit('<b>Ссылка на объявление</b> <a href="'), url, F.lit('">')))
+        .when(n == 1, F.concat(F.lit('<a href="'), listed, F.lit('">')))
+        .when(n == 2, F.concat(F.lit('<a href="'), listed, F.lit('">Ссылка на объявление: <a href="'), url, F.lit('">')))
+        .otherwise(F.lit(""))
+    )
+    lat = F.when(n != 3, F.lit(55.5))
+    return p.select(
+        "page_id",
+        html.outbound_link(F.concat(F.coalesce("html", F.lit("")), mark)).alias("link"),
+        addr.search_link("https://list.example/land", F.lit("Perm region"), F.when(n != 1, F.col("page_id").cast("string"))).alias("search"),
+        geo.map_link("https://maps.example/?layer=x", F.concat(F.lit("59:01:"), F.col("page_id").cast("string")), lat, F.lit(56.25)).alias("map"),
+    )
+
+
+PAGE_LINKS_SQL = """
+SELECT page_id, CASE page_id % 4 WHEN 1 THEN 'https://www.cian.ru/' || page_id WHEN 3 THEN NULL ELSE 'https://x.example/' || page_id END AS link,
+  'https://list.example/land?region=Perm+region' || CASE WHEN page_id % 4 <> 1 THEN '&location=' || page_id ELSE '' END AS search,
+  'https://maps.example/?layer=x' || CASE WHEN page_id % 4 <> 3 THEN '&zoom=18&lat=55.5&lon=56.25' ELSE '' END || '&cadastralNumber=59%3A01%3A' || page_id AS map
+FROM pages
+"""
+
 QUERIES = {
+    "page_links": page_links,
     "keep_best": keep_best,
     "first_by_link": first_by_link,
     "adaptive_radius": adaptive_radius,
@@ -395,6 +424,7 @@ QUERIES = {
     "source_counts": source_counts,
 }
 ORACLES = {
+    "page_links": PAGE_LINKS_SQL,
     "keep_best": KEEP_BEST_SQL,
     "first_by_link": FIRST_BY_LINK_SQL,
     "adaptive_radius": ADAPTIVE_RADIUS_SQL,
