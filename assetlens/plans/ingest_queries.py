@@ -469,9 +469,11 @@ def period_keys(spark: SparkSession, sf: str) -> DataFrame:
     key_sketches.extend(spark, path, rows.where("y < 1995"), "quarter_cad_number", by)
     key_sketches.extend(spark, path, rows, "quarter_cad_number", by)
     lines = key_sketches.stored(spark, path)
-    yearly = key_sketches.distinct_keys(lines, "y").join(key_sketches.exact_keys(rows, "quarter_cad_number", "y").select("y", F.col("keys").alias("exact")), "y")
-    total = key_sketches.distinct_keys(lines).withColumn("y", F.lit(0)).join(key_sketches.exact_keys(rows, "quarter_cad_number").select(F.lit(0).alias("y"), F.col("keys").alias("exact")), "y")
-    return yearly.unionByName(total)
+    total = lambda counts: counts.withColumn("y", F.lit(0))
+    estimated = key_sketches.distinct_keys(lines, "y").unionByName(total(key_sketches.distinct_keys(lines)))
+    exact = key_sketches.exact_keys(rows, "quarter_cad_number", "y").unionByName(total(key_sketches.exact_keys(rows, "quarter_cad_number")))
+    both = estimated.withColumn("exact", F.lit(None).cast("long")).unionByName(exact.select("y", F.lit(None).cast("long").alias("keys"), "n_rows", F.col("keys").alias("exact")))
+    return both.groupBy("y").agg(*(F.max(c).alias(c) for c in ("keys", "n_rows", "exact")))
 
 
 # a hundred keys at most: so few are counted exactly by a sketch too
