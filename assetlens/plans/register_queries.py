@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import is_garbage_line, map_last_wins, map_merge, semicolon_fields, strip
+from ..functions.text import is_garbage_line, map_last_wins, map_merge, repair_latin1_cyrillic, semicolon_fields, strip
 from ..operators import documents, register
 from ..operators.sums import running_sums
 from ..sources import grids
@@ -310,7 +310,26 @@ SELECT note, COUNT(*) AS documents FROM (
 WHERE note IS NOT NULL GROUP BY note
 """
 
+def repaired_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names whose Cyrillic was read as Latin-1 mended, missing ones numbered."""
+    n = F.col("c_custkey") % 4
+    tail = F.concat(F.lit(" "), F.col("c_custkey").cast("string"))
+    given = (
+        F.when(n == 0, F.concat(F.lit("ÈÍÍ ¹¸"), tail))
+        .when(n == 1, F.concat(F.lit("Çàëîã ИНН"), tail))
+        .when(n == 2, F.col("c_name"))
+    )
+    named = table(spark, sf, "customer").select("c_custkey", repair_latin1_cyrillic(given).alias("name"))
+    return register.with_default_names(named, "name", "Obj-", "c_custkey")
+
+
+REPAIRED_SQL = """
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'ИНН №ё ' || c_custkey WHEN 1 THEN 'Çàëîã ИНН ' || c_custkey
+  WHEN 2 THEN c_name ELSE 'Obj-' || c_custkey END AS name FROM customer
+"""
+
 QUERIES = {
+    "repaired_names": repaired_names,
     "register_filter": register_filter,
     "facets": facets,
     "row_status": row_status,
@@ -324,6 +343,7 @@ QUERIES = {
     "quality_notes": quality_notes,
 }
 ORACLES = {
+    "repaired_names": REPAIRED_SQL,
     "register_filter": REGISTER_FILTER_SQL,
     "facets": FACETS_SQL,
     "row_status": ROW_STATUS_SQL,
