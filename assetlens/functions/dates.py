@@ -160,14 +160,16 @@ def absence_periods(c: Column, year: int) -> Column:
 
 def iso_from_dmy(c: Column) -> Column:
     """``d-m-y`` with any of ``- . /`` (or year first) to ``yyyy-mm-dd`` text."""
-    s = F.translate(F.trim(c), "./", "--")
-    p = F.split(s, "-")
-    part = lambda i: F.get(p, F.lit(i))
     pad = lambda x: F.when(F.length(x) < 2, F.lpad(x, 2, "0")).otherwise(x)
-    year_first = F.length(part(0)) == 4
-    year = F.when(year_first, part(0)).when(F.length(part(2)) == 2, F.concat(F.lit("20"), part(2))).otherwise(part(2))
-    day = F.when(year_first, part(2)).otherwise(part(0))
-    return F.when(F.size(p) == 3, F.concat_ws("-", year, pad(part(1)), pad(day)))
+
+    def joined(p: Column) -> Column:
+        part = lambda i: F.get(p, F.lit(i))
+        year_first = F.length(part(0)) == 4
+        year = F.when(year_first, part(0)).when(F.length(part(2)) == 2, F.concat(F.lit("20"), part(2))).otherwise(part(2))
+        day = F.when(year_first, part(2)).otherwise(part(0))
+        return F.when(F.size(p) == 3, F.concat_ws("-", year, pad(part(1)), pad(day)))
+
+    return let(F.split(F.translate(F.trim(c), "./", "--"), "-"), joined)
 
 
 def period_label(year: Column, quarter: Column) -> Column:

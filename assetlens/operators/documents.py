@@ -67,7 +67,7 @@ _TERM = r"(?iU)Срок кредита\s*:\s*([^\n]+)"
 
 def normal_text(c: Column) -> Column:
     """Encoding repaired, blanks squeezed, at most one empty line in a row."""
-    t = F.regexp_replace(repair_latin1_cyrillic(c), r"[ \t]+", " ")
+    t = F.regexp_replace(repair_latin1_cyrillic(c), r"[ \t]{2,}|\t", " ")
     return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
@@ -107,36 +107,46 @@ def client_display(c: Column) -> Column:
 
 def _client(text: Column) -> Column:
     def cleaned(pattern: str) -> Column:
-        name = _strip_chars(squeeze(extract(text, pattern)), ' "«»')
-        return F.when(F.length(name) >= 5, name)
+        return let(_strip_chars(squeeze(extract(text, pattern)), ' "«»'), lambda name: F.when(F.length(name) >= 5, name))
 
     return client_display(F.coalesce(*[cleaned(p) for p in _CLIENTS]))
 
 
 def with_header(docs: DataFrame, text: str = "text") -> DataFrame:
     """Number, date, tax id and client; a short form is read from its table
-    line first. Missing fields are ''."""
-    t = F.col(text)
-    short = is_short_form(t)
-    company = lambda g: F.when(short, extract(t, _SHORT_COMPANY, g))
-    person = lambda g: F.when(short, extract(t, _SHORT_PERSON, g))
-    next_line = F.when(F.regexp_extract(t, _SHORT_PERSON, 4).rlike(_NAME_LINE), strip(F.regexp_extract(t, _SHORT_PERSON, 4)))
-    own = squeeze(person(2))
+    line first. Missing fields are ''.
+
+    Every step is a column of its own, so each pattern reads a text once; the
+    groups of a table line are taken from the line that was found.
+    """
+    t, short = F.col(text), F.col("_short")
+    df = docs.withColumns({"_short": is_short_form(t), "_enough": F.length(t) >= MIN_TEXT})
+    df = df.withColumns(
+        {"_company": F.when(short, extract(t, _SHORT_COMPANY, 0)), "_person": F.when(short, extract(t, _SHORT_PERSON, 0))}
+    )
+    company = lambda g: extract(F.col("_company"), _SHORT_COMPANY, g)
+    person = lambda g: extract(F.col("_person"), _SHORT_PERSON, g)
+    df = df.withColumns(
+        {
+            "_own": squeeze(person(2)),
+            "_next": let(F.regexp_extract("_person", _SHORT_PERSON, 4), lambda x: F.when(x.rlike(_NAME_LINE), strip(x))),
+            "_date": F.coalesce(company(3), person(3), extract_first(t, _DATES)),
+            "_number": F.coalesce(F.when(short, extract(t, _NUMBER_ANY)), extract(t, _NUMBER_LABELLED), extract(t, _NUMBER_ANY)),
+        }
+    )
+    own, next_line, date = F.col("_own"), F.col("_next"), F.col("_date")
     full = F.when(
         next_line.isNotNull() & ~F.upper(own).contains(F.upper(next_line)), F.concat(own, F.lit(" "), next_line)
     ).otherwise(own)
-    date = F.coalesce(company(3), person(3), extract_first(t, _DATES))
-    number = F.coalesce(F.when(short, extract(t, _NUMBER_ANY)), extract(t, _NUMBER_LABELLED), extract(t, _NUMBER_ANY))
-    enough = F.length(t) >= MIN_TEXT
-    or_blank = lambda c: F.coalesce(F.when(enough, c), F.lit(""))
-    return docs.withColumns(
+    or_blank = lambda c: F.coalesce(F.when(F.col("_enough"), c), F.lit(""))
+    return df.withColumns(
         {
-            "conclusion_number": or_blank(F.upper(number)),
+            "conclusion_number": or_blank(F.upper("_number")),
             "conclusion_date": or_blank(F.when(date.rlike("^[0-9]{4}-"), date).otherwise(iso_from_dmy(date))),
             "tax_id": or_blank(F.coalesce(company(1), person(1), extract_first(t, _TAX_IDS))),
             "client_name": or_blank(F.coalesce(client_display(company(2)), client_display(full), _client(t))),
         }
-    )
+    ).drop("_short", "_enough", "_company", "_person", "_own", "_next", "_date", "_number")
 
 
 def reference_prose(section: Column) -> Column:
@@ -205,13 +215,13 @@ def _first_of_each(items: Column, *fields: str) -> Column:
     n log n comparisons.
     """
     key = lambda x: F.lower(F.concat_ws("\u0001", *[x[f] for f in fields]))
-    tagged = F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    tagged = lambda xs: F.array_sort(F.transform(xs, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
 
     def firsts(ts: Column) -> Column:
         new = F.filter(ts, lambda t, j: (j == 0) | (t["k"] != F.get(ts, F.greatest(j - 1, F.lit(0)))["k"]))
         return F.transform(F.array_sort(F.transform(new, lambda t: F.struct(t["i"].alias("i"), t["x"].alias("x")))), lambda t: t["x"])
 
-    return F.when(F.size(items) < 2, items).otherwise(let(tagged, firsts))
+    return let(items, lambda xs: F.when(F.size(xs) < 2, xs).otherwise(let(tagged(xs), firsts)))
 
 
 def free_text_risks(text: Column, window: int | None = None, limit: int | None = None) -> Column:
@@ -250,7 +260,7 @@ def free_text_risks(text: Column, window: int | None = None, limit: int | None =
         )
 
     def read(s: Column) -> Column:
-        rows = F.filter(F.transform(F.split(s, r"\r\n|\r|\n"), lambda x: from_line(strip(x))), lambda r: r.isNotNull())
+        rows = F.filter(F.transform(F.transform(F.split(s, r"\r\n|\r|\n"), strip), from_line), lambda r: r.isNotNull())
         bullets = F.transform(F.regexp_extract_all(s, F.lit(_RISK_BULLET), F.lit(0)), from_bullet)
         rows = _first_of_each(rows, "identifier", "risk")
         bullets = _first_of_each(bullets, "risk", "minimization")
@@ -292,9 +302,8 @@ def short_form_risks(text: Column, limit: int | None = None) -> Column:
     mitigation at the first line that looks like one."""
 
     def block_risk(block: Column) -> Column:
-        rest = F.slice(block, 2, F.size(block))
-        start = F.array_position(F.transform(rest, _is_minimization), F.lit(True)).cast("int")
-        lines = F.when(start > 0, F.slice(rest, F.greatest(start, F.lit(1)), F.size(rest)))
+        start = F.array_position(F.transform(F.slice(block, 2, F.size(block)), _is_minimization), F.lit(True)).cast("int")
+        lines = let(start, lambda n: F.when(n > 0, F.slice(block, n + 1, F.size(block))))
         how = _strip_chars(squeeze(F.coalesce(F.array_join(lines, " "), F.lit(""))), r" \-–—.")
         return _risk(
             _object_ids(block),
@@ -310,7 +319,7 @@ def short_form_risks(text: Column, limit: int | None = None) -> Column:
 
         def cut(s: Column) -> Column:
             stop = lambda k: F.coalesce(F.get(s, k + 1), F.size(lines) + 1)
-            return F.transform(s, lambda i, k: block_risk(F.slice(lines, i, stop(k) - i)))
+            return F.transform(s, lambda i, k: let(F.slice(lines, i, stop(k) - i), block_risk))
 
         return _first_of_each(let(starts, cut), "identifier", "risk", "minimization")
 

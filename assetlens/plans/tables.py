@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ROWS_PER_TASK = 50_000  # of a scan that is dealt anew
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan that row-heavy parsing follows, dealt over ``spark.assetlens.scanTasks`` tasks where the session sets that.
+    """A scan that row-heavy parsing follows, dealt over many tasks where its files give few of them rows.
 
-    A laptop sets it, as a small table in one row group would keep one core
-    busy. It is unset on a cluster, where scans stay as the splits make them.
+    A row group is read by one task, so a small file keeps one core busy
+    however many there are. The rows of each task are counted from the file
+    footers; where one task holds more than twice its share of the cores' rows,
+    rows are dealt by number. ``spark.assetlens.scanTasks`` fixes the number of
+    tasks (a laptop's session does), which saves the count.
     """
-    tasks = scan.sparkSession.conf.get("spark.assetlens.scanTasks", None)
-    return scan.repartition(int(tasks)) if tasks else scan
+    spark = scan.sparkSession
+    tasks = spark.conf.get("spark.assetlens.scanTasks", None)
+    if tasks:
+        return scan.repartition(int(tasks))
+    cores = spark.sparkContext.defaultParallelism
+    held = scan.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"))
+    largest, total = held.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if largest <= max(2 * total / cores, 1000):
+        return scan
+    return scan.repartition(max(cores, math.ceil(total / ROWS_PER_TASK)))

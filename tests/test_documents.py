@@ -115,3 +115,9 @@ def test_client_card(spark, out):
     df = spark.createDataFrame(rows, "conclusion_number string, conclusion_date string, client_name string, tax_id string, summary string, validity_date string, credit_term string, reference_text string, risks array<struct<identifier:string,risk_number:string,risk:string,minimization:string>>")
     cards = d.client_card(df, F.lit(dt.date(2026, 1, 2))).collect()
     assert [c.date for c in cards] == ["2026-04-10", "2026-01-02"] and len(cards[0].risks) == 2
+
+
+def test_a_pattern_reads_a_text_once(spark):
+    docs = spark.createDataFrame([(1, SAMPLE)], "doc_id int, text string")
+    plan = d.with_header(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(p) for p in (*d._DATES, *d._TAX_IDS, *d._CLIENTS, d._NUMBER_LABELLED)] == [1] * 9
