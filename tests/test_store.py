@@ -181,3 +181,28 @@ def test_empty_index_parts(spark, tmp_path):
     assert ranked(search_index.search(spark, root, queries)) == []
     search_index.add(spark.createDataFrame([(1, "Word!")], "id long, text string"), root, "id", ("text",))
     assert [f[2] for f in ranked(search_index.search(spark, root, queries))] == [1]
+
+
+def test_words_are_counted_inside_the_row(spark):
+    """The counts of a document need no shuffle: its words are in one row."""
+    texts = ["b a b", "", None, "c c c a Ä 1 a", "one"]
+    tokens = retrieval.tokenised(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text")
+    counted = search_index._counted(tokens)
+    got = {r.doc_id: (r.dl, [(t.term, t.tf) for t in r.terms]) for r in counted.collect()}
+    assert got == {0: (3, [("a", 1), ("b", 2)]), 1: (0, []), 2: (0, []), 3: (7, [("1", 1), ("a", 3), ("c", 3)]), 4: (1, [("one", 1)])}
+    assert "Exchange" not in counted._jdf.queryExecution().toString()
+
+
+def test_postings_are_dealt_once(spark, tmp_path, monkeypatch):
+    """Only the cells of several blocks are joined to the postings, and a merge tokenises and sorts nothing."""
+    monkeypatch.setattr(search_index, "BLOCK", 16)
+    docs, root = corpus(spark, 300, 5), str(tmp_path / "ix")
+    search_index.add(docs.where("id % 2 = 0"), root, "id", ("text",))
+    search_index.add(docs.where("id % 2 = 1"), root, "id", ("text",))
+    search_index.merge(spark, root)
+    name = versions.at_version(spark, root)[1]["segments"][0]["name"]
+    split, terms = (spark.read.parquet(f"{root}/segments/{name}/{t}") for t in ("split", "terms"))
+    assert 0 < split.count() == terms.where("df > 16").count() < terms.count()
+    assert split.where("blocks < 2").isEmpty()
+    held = spark.read.parquet(f"{root}/segments/{name}/postings").groupBy("term", "level").agg(F.sum("n").alias("df"))
+    assert held.exceptAll(terms.select("term", "level", "df")).isEmpty() and held.count() == terms.count()
