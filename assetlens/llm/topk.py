@@ -12,6 +12,8 @@ exactly from the stored components.
 
 Query blocks meet index blocks through an equi-join on the block number: a
 stated query set against all rows, in blocks. No block grows with the data.
+Both sides are shuffled and sorted, never broadcast: a query block has a row for
+every index block there, many times what Spark takes it for.
 
 Defined results: a vector that is null or holds a null, NaN or infinite
 component takes no part, neither does a row without id. Rows that repeat an id
@@ -164,7 +166,7 @@ def search(index: DataFrame, queries: DataFrame, blocks: int, query_blocks: int,
         .select("query_block", F.col("rows.vec_id").alias("query_ids"), F.col("rows.v").alias("queries"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     )
-    met = packed.join(index, "block").select("query_ids", "queries", "dims", "ids", "components", "impacts", "ends", "slots")
+    met = packed.hint("merge").join(index, "block").select("query_ids", "queries", "dims", "ids", "components", "impacts", "ends", "slots")
     found = ship(met).mapInArrow(_search(k), "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

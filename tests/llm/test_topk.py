@@ -67,3 +67,13 @@ def test_large_components_are_exact(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_query_blocks_are_not_broadcast(spark, monkeypatch):
+    """They have a row for every index block, many times the size that Spark takes them for."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 64)
+    df = spark.createDataFrame(vectors(500, 8, 7), "vec_id long, embedding array<float>, score int, ids string")
+    found = topk.top_k(df)
+    assert len(found.collect()) == 50
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
