@@ -11,6 +11,8 @@ compared over the whole fingerprint.
 Equal fingerprints are one row before any link is sought, so a group of copies
 costs one row. A fingerprint has a bounded number of others within two bits
 (64 + 2016), so links grow with the input, not with the square of a group.
+The balls are never broadcast: they are 34 rows or more a fingerprint, and Spark
+takes them for the size of the fingerprints.
 """
 
 from __future__ import annotations
@@ -88,7 +90,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, segments: int =
     sought = sought.select(F.col("fp").alias("other"), F.col("ball.segment").alias("segment"), F.explode("ball.keys").alias("key"))
     stored = stored.select("fp", "at.segment", "at.key")
     near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius) & (F.col("fp") != F.col("other"))
-    met = stored.alias("s").join(
+    met = stored.hint("merge").alias("s").join(
         sought.alias("q"), (F.col("s.segment") == F.col("q.segment")) & (F.col("s.key") == F.col("q.key")) & near
     )
     return met.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()

@@ -104,3 +104,12 @@ def test_components(spark, links):
                     want[x] = n
                     todo += near[x]
     assert got == want
+
+
+def test_balls_are_not_broadcast(spark):
+    """They are many rows a fingerprint, which Spark takes for the size of the fingerprints."""
+    df = spark.range(300).selectExpr("xxhash64(id) AS fp")
+    found = simhash.fingerprint_links(df)
+    assert found.count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
